@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_
         n = batch.num_rows
         if not n:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
         start = size = 0
         for i, s in enumerate(sizes):
             if i > start and size + s > limit:

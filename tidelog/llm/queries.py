@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidelog.llm.packing import op9_packing
 from tidelog.llm.sentencepieces import op2_sentencepiece
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
