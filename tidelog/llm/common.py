@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handed to a numpy kernel at once; its work arrays take about sixty times that.
 SLICE_BYTES = 1 << 20
+#: Rows of such a slice, for kernels that hold a dense vector for each.
+SLICE_ROWS = 512
 #: Bytes of text that one block (the unit of a request and its reply) holds on average.
 BLOCK_BYTES = 8 << 20
 
@@ -49,8 +51,8 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each slice holds at most `limit` bytes of text, or a single row."""
+def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each slice holds at most `limit` bytes of text, or a single row, and at most `rows` rows."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -58,7 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_
         sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
         start = size = 0
         for i, s in enumerate(sizes):
-            if i > start and size + s > limit:
+            if i > start and (size + s > limit or i - start == rows):
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += s
@@ -84,3 +86,18 @@ def held_out(doc_id: int | None) -> bool:
 
 def held_out_column(col):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def bounded_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
+    """About per_class rows of each class (all of a smaller class), chosen by a hash of the id; never over twice that.
+
+    For fitting classifiers only. The classes are counted over all rows; there must be few of them.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(class_col).count().collect()}
+    if not counts:
+        return rows.limit(0)
+    space = 1 << 30
+    rate = F.lit(0)
+    for value, n in sorted(counts.items()):
+        rate = F.when(F.col(class_col) == F.lit(value), int(space * min(1.0, per_class / n))).otherwise(rate)
+    return rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(space)) < rate).limit(2 * per_class * len(counts))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tidelog.llm.languages import op4_language_id
 from tidelog.llm.packing import op9_packing
 from tidelog.llm.sentencepieces import op2_sentencepiece
+from tidelog.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_language_id": op4_language_id,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
