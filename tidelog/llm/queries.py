@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidelog.llm.fingerprints import op3_fingerprints
 from tidelog.llm.languages import op4_language_id
 from tidelog.llm.packing import op9_packing
 from tidelog.llm.sentencepieces import op2_sentencepiece
@@ -9,6 +10,7 @@ from tidelog.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
