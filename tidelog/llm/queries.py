@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidelog.llm.fingerprints import op3_fingerprints
 from tidelog.llm.languages import op4_language_id
+from tidelog.llm.ngram_join import op5_ngram_jaccard
 from tidelog.llm.packing import op9_packing
 from tidelog.llm.sentencepieces import op2_sentencepiece
 from tidelog.llm.toxicity import op10_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
