@@ -7,9 +7,11 @@ from tidelog.llm.languages import op4_language_id
 from tidelog.llm.ngram_join import op5_ngram_jaccard
 from tidelog.llm.packing import op9_packing
 from tidelog.llm.sentencepieces import op2_sentencepiece
+from tidelog.llm.suffix_dedup import op1_suffix_dedup
 from tidelog.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
