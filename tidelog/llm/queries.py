@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidelog.llm.fingerprints import op3_fingerprints
 from tidelog.llm.languages import op4_language_id
+from tidelog.llm.neighbours import op8_neighbours
 from tidelog.llm.ngram_join import op5_ngram_jaccard
 from tidelog.llm.packing import op9_packing
 from tidelog.llm.sentencepieces import op2_sentencepiece
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op8_neighbours": op8_neighbours,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
