@@ -1,12 +1,76 @@
-"""Stages that clean a corpus and pack it into training sequences."""
+"""A corpus pipeline: toxicity, language, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm.common import table
+from tidelog.llm.languages import UNKNOWN, fit_languages, with_language
+from tidelog.llm.ngram_join import jaccard_components
+from tidelog.llm.packing import pack_documents
+from tidelog.llm.suffix_dedup import dedup_documents
+from tidelog.llm.toxicity import fit_toxicity, flag_toxic
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Texts whose best language is less likely than this are rejected; clean texts are far above.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose score is 0.5 or more. Texts without words are kept."""
+    return flag_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).where("not _toxic").drop("_toxic")
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without null texts, those without letters, and those whose language can't be told; lang is the predicted one."""
+    model = fit_languages(docs)
+    if model is None:
+        return docs
+    found = with_language(docs, model)
+    kept = found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*[F.col("_lang").alias("lang") if c == "lang" else c for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of links stays: that of the smallest id. Rows without an id stay."""
+    groups = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that repeat from a document of a smaller id; texts of which nothing remains go.
+
+    Cuts fall between bytes; the rest of a character that is cut in two goes as well.
+    """
+    kept = dedup_documents(docs, with_text=True).select(F.col("doc_id").alias("_id"), F.col("source_sha256").alias("_cut"), "kept", "n_removed").dropDuplicates(["_id", "_cut"])
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*rest, F.col("text").isNull().alias("_none"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("_sha"))
+    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_cut"))).where("n_removed = 0 or length(kept) > 0")
+    changed = joined.withColumn("text", F.when(~F.col("_none"), F.col("kept")))
+    if "n_chars" in rest:
+        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of each document in its sequence."""
+    return pack_documents(docs, TOKENIZER)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeated_passages),
+    ("packing", pack),
+]
 
-#: SQL can't express the stages.
+#: SQL can't express the classifiers and the tokenizer.
 ORACLE_SQL = None
 
 

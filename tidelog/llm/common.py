@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handed to a numpy kernel at once; its work arrays take about sixty times that.
 SLICE_BYTES = 1 << 20
@@ -67,7 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = SLICE_
         yield batch.slice(start, n - start)
 
 
-def map_slices(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow of `fn` over text-bounded slices; no shuffle, one pass."""
 
     def run(batches):

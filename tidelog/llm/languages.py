@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm import kernels
 from tidelog.llm.common import bounded_sample, held_out, held_out_column, map_slices, table
@@ -132,19 +133,22 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Language
     return LanguageModel.fit(x, [r[0] for r in found])
 
 
+def _judged(model: LanguageModel | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if model:
+        best, p = model.predict(features(texts))
+        for i, t in enumerate(texts.to_pylist()):
+            if t and has_letter(t):
+                names[i], scores[i] = model.names[best[i]], float(p[i])
+    return names, scores
+
+
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
-        m, texts = held.value, batch.column("text")
-        n = batch.num_rows
-        names, scores = [UNKNOWN] * n, [0.0] * n
-        if m:
-            best, p = m.predict(features(texts))
-            for i, t in enumerate(texts.to_pylist()):
-                if t and has_letter(t):
-                    names[i], scores[i] = m.names[best[i]], float(p[i])
+        names, scores = _judged(held.value, batch.column("text"))
         folds = [held_out(i) for i in batch.column("doc_id").to_pylist()]
         unclear = [s < AMBIGUOUS for s in scores]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(folds), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unclear)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
@@ -152,6 +156,17 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), "text", run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def with_language(docs: DataFrame, model: LanguageModel | None, name: str = "_lang", score: str = "_score") -> DataFrame:
+    """All columns of docs, the predicted language and its probability."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch):
+        names, scores = _judged(held.value, batch.column("text"))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, name, score])
+
+    return map_slices(docs, "text", run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit_languages(docs))

@@ -225,12 +225,20 @@ def _finished(ids: list[int], data: np.ndarray, offsets: np.ndarray, gone: np.nd
     arrays = [pa.array(ids, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if with_text:
-        return pa.Table.from_arrays([*arrays, pa.array(parts, pa.binary())], [*names, "kept"])
+        source = data.tobytes()
+        edges = offsets.tolist()
+        sources = [hashlib.sha256(source[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        texts = [p.decode(errors="ignore") for p in parts]  # the rest of a character that was cut in two goes too
+        return pa.Table.from_arrays([*arrays, pa.array(sources, pa.string()), pa.array(texts, pa.string())], [*names, "source_sha256", "kept"])
     return pa.Table.from_arrays(arrays, names)
 
 
 def dedup_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """The contract's columns for every row; with_text adds the remaining bytes as `kept`."""
+    """The contract's columns for every row.
+
+    with_text adds the digest of the text before as `source_sha256`, and what remains as `kept`, a string without the
+    rest of characters that were cut in two.
+    """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     slim = stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha")), "texts")
@@ -271,16 +279,23 @@ def dedup_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:
             return pa.concat_tables(parts)
         return _finished([], np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool), with_text)
 
-    done = together(answered).applyInArrow(finish, _OUT + (", kept binary" if with_text else ""))
+    done = together(answered).applyInArrow(finish, _OUT + (", source_sha256 string, kept string" if with_text else ""))
     # Copies lose all; texts too short for a match, and those without an id, lose nothing.
     placed = slim.join(classes, ["sha", "n_bytes"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("class_id"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
     rest = placed.where(F.col("copy") | (F.col("n_bytes") < LENGTH) | F.col("doc_id").isNull())
-    plain = rest.select("doc_id", "n_bytes", F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.col("copy").cast("long").alias("n_spans"), F.when(F.col("copy"), F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256"))
-    if with_text:
-        short = docs.where((F.octet_length(text) < LENGTH) | F.col("doc_id").isNull()).select("doc_id", F.sha2(text.cast("binary"), 256).alias("kept_sha256"), text.cast("binary").alias("kept")).dropDuplicates()
-        empty = plain.where("n_spans > 0").withColumn("kept", F.lit(b""))
-        plain = plain.where("n_spans = 0").join(short, [plain.doc_id.eqNullSafe(short.doc_id), plain.kept_sha256 == short.kept_sha256]).select(*[plain[c] for c in plain.columns], "kept").unionByName(empty)
-    return done.unionByName(plain)
+    columns = [
+        "doc_id",
+        "n_bytes",
+        F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.col("copy").cast("long").alias("n_spans"),
+        F.when(F.col("copy"), F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+    ]
+    if not with_text:
+        return done.unionByName(rest.select(*columns))
+    whole = docs.where((F.octet_length(text) < LENGTH) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_id"), F.sha2(text.cast("binary"), 256).alias("_sha"), text.alias("kept")).dropDuplicates(["_id", "_sha"])
+    emptied = rest.where("copy").withColumn("kept", F.lit(""))
+    plain = rest.where("not copy").join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))).drop("_id", "_sha").unionByName(emptied)
+    return done.unionByName(plain.select(*columns, F.col("sha").alias("source_sha256"), "kept"))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm import kernels
 from tidelog.llm.common import bounded_sample, held_out, held_out_column, map_slices, table
@@ -251,6 +252,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), "text", run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def flag_toxic(docs: DataFrame, model: ToxicityModel | None, name: str = "_toxic") -> DataFrame:
+    """All columns of docs and `name`: whether the text's score is 0.5 or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch):
+        m = held.value
+        toxic = m.score(batch.column("text")) >= 0.5 if m else np.zeros(batch.num_rows, bool)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(toxic)], [*batch.schema.names, name])
+
+    return map_slices(docs, "text", run, T.StructType([*docs.schema.fields, T.StructField(name, T.BooleanType())]))
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
