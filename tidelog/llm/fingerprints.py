@@ -142,7 +142,7 @@ def next_document_edits(docs: DataFrame, partitions: int | None = None) -> DataF
     spark = docs.sparkSession
     parts = partitions or shuffle_partitions(spark)
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = docs.select("doc_id", "text").repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
 
     def run(batches):
         from pyspark import TaskContext
