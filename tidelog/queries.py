@@ -1,6 +1,240 @@
-"""The catalogue of the library's own queries and their SQL."""
+"""The catalogue: a query over the driver's tables for each operator, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions import semantics as S
+from tidelog.operators import compaction, layout, stats, view
+from tidelog.operators.ordered import with_running_max
+from tidelog.sources import oplog
+from tidelog.streaming import upsert
+
+FILE_PAGES = 256
+SNAPSHOT = 5000
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# Relations that the SQL of several queries shares.
+_OPS = "ops as (select user_id as k, event_id as seq, case when event_type = 'error' then 1 else 0 end as del, case when event_type = 'error' then 0 else strlen(props) end as vlen, props from events)"
+_CUR = _OPS + ", cur as (select * from (select *, row_number() over (partition by k order by seq desc) as rn from ops) where rn = 1)"
+_EFF = _OPS + ", eff as (select k, seq, del, vlen, (32 + vlen + 4095) // 4096 as pages from (select *, lag(del) over (partition by k order by seq) as pdel from ops) where del = 0 or pdel = 0)"
+_LOC = _EFF + ", ranked as (select *, row_number() over (order by seq) - 1 as rk from eff), loc as (select *, rk // 255 as file_id, 1 + rk % 255 as offset_index from ranked)"
+_LIVE = _LOC + ", live as (select * from (select *, row_number() over (partition by k order by seq desc) as rn from loc) where rn = 1 and del = 0)"
+_FS = _LIVE + ", fs as (select loc.file_id, 4096 * count(*) as total_bytes, 4096 * count(live.seq) as valid_bytes, count(*) as total_entries, count(live.seq) as valid_entries from loc left join live on live.seq = loc.seq group by loc.file_id)"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.events_log(spark, sf_dir)
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.place_uniform(view.effective(_events(spark, sf_dir)), FILE_PAGES)
+
+
+@_query("select o_custkey as key, o_orderkey as seq, o_totalprice as value from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as rn from orders) where rn = 1")
+def kv_latest_order(spark, sf_dir):
+    return view.latest(oplog.orders_log(spark, sf_dir)).select("key", "seq", F.col("value").cast("double").alias("value"))
+
+
+@_query(f"with {_CUR} select k as key, seq, case when del = 1 then 'DEL' else 'PUT' end as op from cur")
+def kv_latest_version(spark, sf_dir):
+    return view.latest(_events(spark, sf_dir)).select("key", "seq", "op")
+
+
+@_query(f"with {_CUR} select k as key, seq, props as value from cur where del = 0")
+def kv_live_snapshot(spark, sf_dir):
+    return view.live(_events(spark, sf_dir)).select("key", "seq", "value")
+
+
+@_query(f"with {_CUR} select k as key, seq, props as value from cur where del = 0 and k = 7")
+def kv_point_get(spark, sf_dir):
+    return view.get(_events(spark, sf_dir), 7).select("key", "seq", "value")
+
+
+@_query(f"""with {_CUR}, req as (select event_id as key from events where event_id < 300)
+select req.key, cast(case when cur.k is null or del = 1 then -1 when vlen > 9 then -2 else 0 end as integer) as status, cast(case when del = 0 then vlen end as bigint) as actual_len,
+case when del = 0 and vlen <= 9 then props end as value from req left join cur on cur.k = req.key""")
+def kv_multi_get(spark, sf_dir):
+    log = _events(spark, sf_dir)
+    requests = log.where(F.col("seq") < 300).select(F.col("seq").alias("key"))
+    return view.multi_get(log, requests, F.lit(9))
+
+
+@_query(f"with {_OPS} select k as key, seq, case when del = 1 then 'DEL' else 'PUT' end as op, cast(case when del = 1 and coalesce(pdel, 1) = 1 then -1 else 0 end as integer) as status from (select *, lag(del) over (partition by k order by seq) as pdel from ops)")
+def kv_op_status(spark, sf_dir):
+    return view.op_status(_events(spark, sf_dir))
+
+
+@_query("select doc_id as seq, cast(case when coalesce(strlen(text), 0) = 0 then -6 when strlen(text) > 16384 then -2 else 0 end as integer) as status from documents")
+def kv_put_validate(spark, sf_dir):
+    return oplog.documents_log(spark, sf_dir).select("seq", S.put_status(F.col("value_len"), 16384).alias("status"))
+
+
+@_query("select doc_id as seq, cast(coalesce(strlen(text), 0) as bigint) as value_len, cast((32 + coalesce(strlen(text), 0) + 4095) // 4096 as bigint) as page_count, cast(4096 * ((32 + coalesce(strlen(text), 0) + 4095) // 4096) as bigint) as aligned_size from documents")
+def kv_entry_pages(spark, sf_dir):
+    return oplog.documents_log(spark, sf_dir).select("seq", "value_len", S.page_count(F.col("value_len")).alias("page_count"), S.aligned_size(F.col("value_len")).alias("aligned_size"))
+
+
+_TOTALS = f"""with {_EFF}, r as (select *, lag(del) over (partition by k order by seq) as pdel, lag(pages) over (partition by k order by seq) as ppages from eff),
+t as (select cast(coalesce(sum(pages), 0) * 4096 as bigint) as total_data_bytes, cast(coalesce(sum(case when pdel = 0 then ppages end), 0) * 4096 as bigint) as total_garbage_bytes,
+cast(count(distinct case when del = 0 then k end) as bigint) as entry_count from r)"""
+
+
+@_query(_TOTALS + " select * from t")
+def kv_stats(spark, sf_dir):
+    return stats.totals(_events(spark, sf_dir)).drop("garbage_ratio")
+
+
+@_query(_TOTALS + " select cast(case when total_data_bytes = 0 then 0 else total_garbage_bytes * 100 // total_data_bytes end as bigint) as garbage_ratio from t")
+def kv_garbage_ratio(spark, sf_dir):
+    return stats.totals(_events(spark, sf_dir)).select("garbage_ratio")
+
+
+@_query(f"with {_OPS} select count(distinct k) as size, cast(2048 as bigint) as capacity, cast(count(distinct k) as double) / 2048 as load_factor from ops where del = 0")
+def kv_load_factor(spark, sf_dir):
+    return stats.load_factor(_events(spark, sf_dir), 1000)
+
+
+@_query(f"with {_OPS} select case when del = 1 then 'DEL' else 'PUT' end as op, count(*) as ops, cast(sum(vlen) as bigint) as value_bytes from ops group by 1")
+def kv_workload_mix(spark, sf_dir):
+    return stats.workload_mix(_events(spark, sf_dir))
+
+
+@_query(f"""with {_OPS}, a as (select k, seq, md5(cast(seq as varchar)) as arrival from ops), b as (select *, max(seq) over (partition by k order by arrival rows between unbounded preceding and 1 preceding) as pm from a)
+select k as key, max(seq) as seq, count(*) filter (where pm is null or seq > pm) as updates from b group by k""")
+def kv_lww_out_of_order(spark, sf_dir):
+    arrived = _events(spark, sf_dir).select("key", "seq", F.md5(F.col("seq").cast("string")).alias("arrival"))
+    rows = with_running_max(arrived, "seq", "arrival", F.substring("arrival", 1, 2))
+    applied = F.col("prev_max").isNull() | (F.col("seq") > F.col("prev_max"))
+    return rows.groupBy("key").agg(F.max("seq").alias("seq"), F.count(F.when(applied, 1)).alias("updates"))
+
+
+@_query(f"with {_OPS}, cut as (select * from (select *, row_number() over (partition by k order by seq desc) as rn from ops where seq <= {SNAPSHOT}) where rn = 1) select k as key, seq, props as value from cut where del = 0")
+def kv_asof(spark, sf_dir):
+    return view.as_of(_events(spark, sf_dir), SNAPSHOT).where(F.col("op") == "PUT").select("key", "seq", "value")
+
+
+@_query(f"with {_CUR} select k as key, seq, props as value from cur where del = 0")
+def kv_ckpt_replay(spark, sf_dir):
+    log = _events(spark, sf_dir)
+    return view.replay(view.as_of(log, SNAPSHOT), log.where(F.col("seq") > SNAPSHOT)).select("key", "seq", "value")
+
+
+@_query(f"select greatest({SNAPSHOT}, max(event_id)) + 1 as next_seq from events")
+def kv_recovery_seq(spark, sf_dir):
+    return _events(spark, sf_dir).agg((F.greatest(F.lit(SNAPSHOT), F.max("seq")) + 1).alias("next_seq"))
+
+
+@_query(f"with {_LOC} select k as key, seq, cast(file_id as bigint) as file_id, cast(offset_index as bigint) as offset_index from loc")
+def kv_locations(spark, sf_dir):
+    return _located(spark, sf_dir).select("key", "seq", "file_id", "offset_index")
+
+
+@_query(f"""with recursive e as (select row_number() over (order by doc_id) as rn, doc_id as seq, (32 + coalesce(strlen(text), 0) + 4095) // 4096 as pages from documents),
+p(rn, seq, file_id, offset_index, after) as (select rn, seq, cast(case when 1 + pages > {FILE_PAGES} then 1 else 0 end as bigint), cast(1 as bigint), cast(1 + pages as bigint) from e where rn = 1
+union all select e.rn, e.seq, case when p.after + e.pages > {FILE_PAGES} then p.file_id + 1 else p.file_id end, case when p.after + e.pages > {FILE_PAGES} then 1 else p.after end, case when p.after + e.pages > {FILE_PAGES} then 1 + e.pages else p.after + e.pages end from p join e on e.rn = p.rn + 1)
+select seq, file_id, offset_index from p""")
+def kv_layout_nextfit(spark, sf_dir):
+    entries = oplog.documents_log(spark, sf_dir).select("seq", S.page_count(F.col("value_len")).alias("page_count"))
+    return layout.place(entries, FILE_PAGES).select("seq", "file_id", "offset_index")
+
+
+@_query(f"with {_FS} select cast(file_id as bigint) as file_id, case when file_id < max(file_id) over () then 'SEALED' else 'ACTIVE' end as state, cast(total_bytes as bigint) as total_bytes, cast(valid_bytes as bigint) as valid_bytes, total_entries, valid_entries, cast(1 as double) - cast(valid_bytes as double) / cast(total_bytes as double) as garbage_ratio from fs")
+def kv_file_stats(spark, sf_dir):
+    return layout.file_stats(_located(spark, sf_dir))
+
+
+@_query(f"with {_FS}, f as (select *, max(file_id) over () as top, cast(1 as double) - cast(valid_bytes as double) / cast(total_bytes as double) as garbage_ratio from fs) select cast(file_id as bigint) as file_id, garbage_ratio, cast(total_bytes - valid_bytes as bigint) as reclaimable_bytes from f where file_id < top and garbage_ratio >= 0.3")
+def kv_compaction_candidates(spark, sf_dir):
+    return compaction.candidates(_located(spark, sf_dir))
+
+
+@_query(f"with {_LIVE}, m as (select * from live where file_id < (select max(file_id) from loc)) select k as key, seq, cast(file_id as bigint) as file_id, cast(offset_index as bigint) as offset_index, cast(pages as bigint) as page_count, cast(row_number() over (order by file_id, offset_index) as bigint) as new_offset from m")
+def kv_compact_migrate(spark, sf_dir):
+    located = _located(spark, sf_dir)
+    return compaction.migrate(located, layout.file_stats(located).where(F.col("state") == "SEALED"))
+
+
+@_query(f"with {_LIVE} select cast(file_id as bigint) as file_id, cast(count(*) as bigint) as valid_pages, cast(1 as bigint) as chunks from live group by file_id")
+def kv_valid_page_bitmap(spark, sf_dir):
+    return layout.bitmap_stats(layout.valid_page_bitmap(_located(spark, sf_dir)))
+
+
+@_query(f"with {_LOC} select cast(file_id as bigint) as file_id, cast(max(offset_index + pages) as bigint) as write_offset from loc group by file_id")
+def kv_write_offsets(spark, sf_dir):
+    return layout.first_after(_located(spark, sf_dir))
+
+
+_FNV = "list_reduce([14695981039346656037::uhugeint] || list_transform(range(0, 8), lambda i: ((k >> (8 * i)) & 255)::uhugeint), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+_HASHED = f"keys as (select distinct o_custkey as k from orders), h as (select k, {_FNV} as h from keys)"
+
+
+@_query(f"with {_HASHED} select k as key, cast(h // 4294967296 as bigint) as high, cast(h % 4294967296 as bigint) as low, cast(h // 72057594037927936 as bigint) as tag from h")
+def kv_hash_tag(spark, sf_dir):
+    keys = oplog.orders_log(spark, sf_dir).select("key").distinct().withColumn("h", S.fnv1a(F.col("key")))
+    return keys.select("key", F.shiftrightunsigned("h", 32).alias("high"), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.shiftrightunsigned("h", 56).alias("tag"))
+
+
+@_query("select a, b, ((a - b) & 4294967295) between 1 and 2147483647 as newer from (values (cast(1 as bigint), cast(4294967295 as bigint)), (5, 5), (2147483648, 0), (2147483647, 0), (7, 3), (3, 7)) t(a, b)")
+def kv_seq_newer(spark, sf_dir):
+    cases = spark.createDataFrame([(1, 4294967295), (5, 5), (2147483648, 0), (2147483647, 0), (7, 3), (3, 7)], "a long, b long")
+    return cases.withColumn("newer", S.is_newer(F.col("a"), F.col("b")))
+
+
+@_query(f"with keys as (select distinct user_id as k from events where event_id > 9900 or event_id % 100 = 99), h as (select k, {_FNV} as h from keys) select distinct cast(least((h % 4096) // 51, 79) as bigint) as segment_id from h")
+def kv_dirty_segments(spark, sf_dir):
+    changed = _events(spark, sf_dir).where((F.col("seq") > 9900) | (F.col("seq") % 100 == 99)).select("key").distinct()
+    return changed.select(S.segment_of(F.col("key")).alias("segment_id")).distinct()
+
+
+@_query("select doc_id as seq, cast(case when doc_id % 7 = 3 then -5 else 0 end as integer) as status from documents")
+def kv_crc_verify(spark, sf_dir):
+    log = oplog.documents_log(spark, sf_dir)
+    crc = lambda value: S.entry_crc(F.col("key"), F.col("seq"), value, F.col("op") == "DEL")
+    stored = log.withColumn("crc", crc(F.col("value")))
+    damaged = F.when(F.col("seq") % 7 == 3, F.concat(F.lit("x"), F.col("value"))).otherwise(F.col("value"))
+    return stored.select("seq", F.when(crc(damaged) == F.col("crc"), 0).otherwise(int(S.Status.CORRUPT)).alias("status"))
+
+
+@_query(f"with {_LOC} select distinct user_id as path_id from events where user_id not in (select file_id from loc)")
+def kv_dangling_files(spark, sf_dir):
+    """Files on disk (stood in for by user ids) that no manifest names."""
+    on_disk = _events(spark, sf_dir).select(F.col("key").alias("path_id")).distinct()
+    known = _located(spark, sf_dir).select(F.col("file_id").alias("path_id")).distinct()
+    return on_disk.join(known, "path_id", "left_anti")
+
+
+@_query("select o_custkey as key, o_orderkey as seq, o_totalprice as value from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as rn from orders where o_custkey between 100 and 199) where rn = 1")
+def kv_range_scan(spark, sf_dir):
+    return view.range_scan(oplog.orders_log(spark, sf_dir), 100, 199).select("key", "seq", F.col("value").cast("double").alias("value"))
+
+
+@_query("select page_id % 50 as key, max(page_id) as seq, cast(max_by(strlen(html), page_id) as bigint) as value_len from pages group by 1")
+def kv_pages_latest(spark, sf_dir):
+    return view.latest(oplog.pages_log(spark, sf_dir)).select("key", "seq", "value_len")
+
+
+@_query("select cast(v as integer) as pending, case when v >= 1000 then 0.0::double when v >= 500 then 0.25::double when v >= 100 then 0.5::double else 1.0::double end as rate from (values (0), (99), (100), (499), (500), (999), (1000)) t(v)")
+def kv_throttle(spark, sf_dir):
+    return spark.createDataFrame([(v,) for v in (0, 99, 100, 499, 500, 999, 1000)], "pending int").withColumn("rate", S.throttle(F.col("pending")))
+
+
+@_query(f"with {_CUR} select k as key, seq from cur")
+def kv_stream_upsert(spark, sf_dir):
+    """The state of a stream over the events' file once all is read."""
+    return upsert.latest_once(spark, f"{sf_dir}/events.parquet")
