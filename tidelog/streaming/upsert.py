@@ -20,10 +20,17 @@ def events_stream(spark: SparkSession, path: str, max_files: int | None = None)
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    events = reader.parquet(path if not path.endswith(".parquet") else path)
+    # A single file can't be a stream's source: its folder is, with a filter on the file's name.
+    folder, _, name = path.rstrip("/").rpartition("/")
+    events = reader.option("pathGlobFilter", name).parquet(folder) if _is_file(spark, path) else reader.parquet(path)
     return as_log(events, F.col("user_id"), F.col("event_id"), F.col("props"), F.col("event_type") == "error")
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+
+
 def latest_versions(log: DataFrame) -> DataFrame:
     """The newest version of each key, whatever the order of arrival; tombstones stay, so a late older put can't
     bring a key back. There is no watermark: the log has no limit of lateness, and the state is a row a key."""
