@@ -71,7 +71,7 @@ def unsigned_order(key: Column) -> Column:
 
 def unsigned_key(key: Column) -> Column:
     """The unsigned number of a 64-bit pattern."""
-    return F.when(key >= 0, key.cast("decimal(20,0)")).otherwise(key.cast("decimal(20,0)") + F.lit(1 << 64).cast("decimal(20,0)"))
+    return F.when(key >= 0, key.cast("decimal(20,0)")).otherwise(key.cast("decimal(20,0)") + F.lit(str(1 << 64)).cast("decimal(20,0)"))
 
 
 def fnv1a(key: Column) -> Column:
