@@ -7,8 +7,8 @@ of BANDS MinHash values (bands of one row): a template that is contained to CONT
 window's shingles, so the chance to miss it is below 0.9 ** BANDS, a millionth. A match has at least CONTAINMENT of the
 template's shingles in one window, counted exactly.
 
-Only texts with one of a few telling words are cut into windows: words chosen so that every shingle of every template
-has one, which loses nothing, since a window without a shingle of a template can't match. All of it is built-in
+Only texts with one of a few telling words are cut into windows: words chosen so that fewer than CONTAINMENT of any
+template's shingles lack them, which loses nothing, since a match then has one of them. All of it is built-in
 functions; no Python runs on the executors.
 
 Defined results: null and empty texts match nothing; repeated rows and null ids are judged row by row (rows that share
@@ -60,18 +60,34 @@ def _shingles(words: list[str]) -> list[tuple[str, ...]]:
     return sorted({tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}) if words else []
 
 
-def telling_words(templates: Mapping[str, str]) -> list[str]:
-    """Words of which every shingle of every template has one: greedily those that tell most of them, common ones last."""
-    left, out = {s for t in templates.values() for s in _shingles(_words(t))}, []
-    while left:
+def telling_words(templates: Mapping[str, str], containment: float = CONTAINMENT) -> list[str]:
+    """Words of which every part of a template that counts as a match has one: chosen greedily, common ones last,
+    until fewer shingles of each template lack them than a match needs."""
+    sets = {name: _shingles(_words(t)) for name, t in templates.items()}
+    out: list[str] = []
+    while True:
         counts: dict[str, int] = {}
-        for s in left:
-            for w in set(s):
-                counts[w] = counts.get(w, 0) + 1
-        best = max(counts, key=lambda w: (w not in _COMMON, len(w) > 3, counts[w], w))
-        out.append(best)
-        left = {s for s in left if best not in s}
-    return sorted(out)
+        for shingles in sets.values():
+            bare = [s for s in shingles if not set(s) & set(out)]
+            if len(bare) >= containment * len(shingles):
+                for s in bare:
+                    for w in set(s):
+                        counts[w] = counts.get(w, 0) + 1
+        if not counts:
+            return sorted(out)
+        out.append(max(counts, key=lambda w: (w not in _COMMON, len(w) > 3, counts[w], w)))
+
+
+def _has_any(text: Column, words: list[str]) -> Column:
+    """Whether a lower-cased text holds any of the strings; the lambda lower-cases it once."""
+
+    def found(lower: Column) -> Column:
+        out = lower.contains(words[0])
+        for w in words[1:]:
+            out = out | lower.contains(w)
+        return out
+
+    return F.exists(F.array(F.lower(text)), found)
 
 
 def _least(shingles: Column, band: int) -> Column:
@@ -106,8 +122,7 @@ def license_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -
     known = known.select("license", "span", _shingle_hashes(F.col("words")).alias("wanted"))
     keyed = known.select("license", "span", "wanted", F.explode(_signature(F.col("wanted"))).alias("band"))
 
-    telling = "(?i)(?<![0-9a-z])(?:" + "|".join(telling_words(templates)) + ")(?![0-9a-z])"
-    cut = docs.select("doc_id", "text").where(F.col("text").rlike(telling)).select("doc_id", _text_words(F.col("text")).alias("words"))
+    cut = docs.select("doc_id", "text").where(_has_any(F.col("text"), telling_words(templates))).select("doc_id", _text_words(F.col("text")).alias("words"))
     spans = F.array(*[F.lit(L) for L in used])
     placed = cut.select("doc_id", "words", F.explode(spans).alias("span")).select("doc_id", "words", "span", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.col("span"))).alias("first_word"))
     windows = placed.select("doc_id", "span", "first_word", _shingle_hashes(F.slice("words", F.col("first_word") + 1, 2 * F.col("span"))).alias("shingles"))
