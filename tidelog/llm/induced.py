@@ -171,13 +171,28 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
     out = np.zeros(len(a), np.uint8)
     live = np.arange(len(a))
     n = len(text) - 1
-    for k in range(depth):
+    k = 0
+    if text.dtype == np.uint8:  # eight symbols at once; the end symbol stops a pair before the end of the loads
+        loads = np.ndarray((max(0, n - 6),), "<u8", np.ascontiguousarray(text), 0, (1,))
+        while k < depth and len(live):
+            x, y = a[live] + k, b[live] + k
+            inside = np.maximum(x, y) < len(loads)
+            if not inside.all():
+                break
+            differ = loads[x] ^ loads[y]
+            equal = differ == 0
+            part = differ[~equal]
+            low = part & (~part + np.uint64(1))  # its lowest bit tells the first symbol that differs
+            out[live[~equal]] += (np.log2(low.astype(np.float64)).astype(np.uint8)) // 8
+            live = live[equal]
+            out[live] += 8
+            k += 8
+    while k < depth and len(live):
         x, y = a[live] + k, b[live] + k
         live = live[(x <= n) & (y <= n) & (text[np.minimum(x, n)] == text[np.minimum(y, n)])]
-        if not len(live):
-            break
         out[live] += 1
-    return out
+        k += 1
+    return np.minimum(out, depth).astype(np.uint8)
 
 
 def _seeds(text: np.ndarray) -> np.ndarray:

@@ -10,12 +10,13 @@ least 0.8. The join answers with components of links:
 3. The rest count the shingles that they share, which gives the global order: rarest first, unshared before all. Sets
    that share less than t are out; the others index the first shingles in that order, of which a linked pair has one
    in common (prefix filtering).
-4. First, each indexed shingle joins its classes with the smallest of them (as many pairs as postings). Then
-   components of the links found so far, and of every shingle that still holds several components all pairs
-   across components whose sizes and shared counts allow a link. So a group of n near copies costs about n, and no
-   link between components is missed.
-5. Pairs meet in blocks: the globally ordered sets of a block's documents form a trie; a probe traverses it, carrying
+4. Probes meet blocks of documents: the globally ordered sets of a block form a trie; a probe traverses it, carrying
    the overlap with each shared path, and leaves a subtree when that and the remaining lengths can't reach a link.
+   A block reports links that join what its own links have not joined yet.
+5. First, the smallest and the largest document of each indexed shingle probe the blocks of its others (two probes a
+   posting at most). Then the components of the links found so far; of every shingle that still holds several, each
+   document probes the blocks with one of a greater component, if sizes and shared counts allow a link. So a group of
+   n near copies costs about n, no pairs of documents are listed, and no link between components is missed.
 
 Defined results: null and empty texts, and those of white space alone, have the empty set and link with nothing, not
 even with each other; rows that share an id count as one node; a row without an id takes part only in its class, and
@@ -35,6 +36,8 @@ from tidelog.llm.common import SLICE_BYTES, map_slices, shuffle_partitions, slic
 from tidelog.llm.components import components
 
 SHINGLE = 5
+#: Bytes of text in a block, on average.
+TEXT_BYTES = 4 << 20
 #: Bytes of ordered sets in a block of the trie join, on average.
 TRIE_BYTES = 1 << 20
 
@@ -114,7 +117,7 @@ def _class_rows(texts: pa.Table, notes: pa.Table) -> pa.Table:
 def candidate_sets(docs: DataFrame, classes: DataFrame, total_bytes: int) -> DataFrame:
     """doc_id, n, block, tokens (ascending hashes) of the classes that their sketches leave in."""
     spark = docs.sparkSession
-    blocks = exchange.block_count(total_bytes)
+    blocks = exchange.block_count(total_bytes, TEXT_BYTES)
     tasks = shuffle_partitions(spark)
     bits = exchange.bucket_bits(docs, total_bytes // 16)
     texts = docs.select("doc_id", "text").withColumn("block", exchange.block_of(F.col("doc_id"), blocks)).repartition(tasks, "block")
@@ -237,21 +240,34 @@ class Trie:
         return out
 
 
-def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
-    """(a, b) of the candidate pairs that link, and of other links of each a within the block of its b."""
-    total = ordered.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    blocks = exchange.block_count(total, TRIE_BYTES)
-    at = exchange.block_of(F.col("b"), blocks)
-    probes = pairs.select("a", at.alias("block")).distinct().join(ordered.select(F.col("doc_id").alias("a"), "n", "tokens"), "a").select("block", F.lit(0).alias("kind"), F.col("a").alias("id"), "n", "tokens")
-    own = ordered.select(F.col("doc_id").alias("id"), "n", "tokens").join(pairs.select(F.col("b").alias("id")).distinct(), "id").select(exchange.block_of(F.col("id"), blocks).alias("block"), F.lit(1).alias("kind"), "id", "n", "tokens")
+def block_links(probes: DataFrame, own: DataFrame, ordered: DataFrame, blocks: int) -> DataFrame:
+    """Links (a, b) of probes (a, block) with the documents of the block that are in own (id): not all of them, but
+    enough to join what the links of the block join."""
+    asked = probes.join(ordered.select(F.col("doc_id").alias("a"), "n", "tokens"), "a").select("block", F.lit(0).alias("kind"), F.col("a").alias("id"), "n", "tokens")
+    held = ordered.select(F.col("doc_id").alias("id"), "n", "tokens").join(own, "id", "left_semi").select(exchange.block_of(F.col("id"), blocks).alias("block"), F.lit(1).alias("kind"), "id", "n", "tokens")
 
     def meet(tab):
         rows = list(zip(*[tab.column(c).to_pylist() for c in ("kind", "id", "n", "tokens")], strict=True))
+        if not any(r[0] for r in rows):
+            return exchange.as_table([], [pa.int64(), pa.int64()], ["a", "b"])
         trie = Trie([(i, n, np.frombuffer(t, np.uint64)) for kind, i, n, t in rows if kind])
-        out = [(i, j) for kind, i, n, t in rows if not kind for j in trie.links(n, np.frombuffer(t, np.uint64)) if i != j]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[y]
+            return x
+
+        out = []
+        for kind, i, n, t in rows:
+            for j in trie.links(n, np.frombuffer(t, np.uint64)) if not kind else ():
+                a, b = root(i), root(j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((i, j))
         return exchange.as_table(out, [pa.int64(), pa.int64()], ["a", "b"])
 
-    return probes.unionByName(own).groupBy("block").applyInArrow(meet, "a long, b long")
+    return asked.unionByName(held).groupBy("block").applyInArrow(meet, "a long, b long")
 
 
 def _possible(na, ma, nb, mb):
@@ -260,22 +276,27 @@ def _possible(na, ma, nb, mb):
 
 def class_links(ordered: DataFrame) -> DataFrame:
     """(node, component) of the classes that link with others."""
-    posts = stored(ordered.select("doc_id", "n", "m", F.explode("prefix").alias("token")), "postings")
-    centre = posts.groupBy("token").agg(F.min(F.struct("doc_id", "n", "m")).alias("c")).select("token", F.col("c.doc_id").alias("a"), F.col("c.n").alias("an"), F.col("c.m").alias("am"))
-    near = posts.join(centre, "token").where((F.col("doc_id") != F.col("a")) & _possible(F.col("n"), F.col("m"), F.col("an"), F.col("am"))).select("a", F.col("doc_id").alias("b")).distinct()
-    first = stored(verified(stored(near, "stars"), ordered), "links")
+    total = ordered.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    blocks = exchange.block_count(total, TRIE_BYTES)
+    posts = stored(ordered.select("doc_id", "n", "m", exchange.block_of(F.col("doc_id"), blocks).alias("block"), F.explode("prefix").alias("token")), "postings")
+    one = F.struct("doc_id", "n", "m")
+    ends = posts.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.doc_id <> high.doc_id")
+    centres = ends.select("token", F.explode(F.array("low", "high")).alias("c")).select("token", F.col("c.doc_id").alias("a"), F.col("c.n").alias("an"), F.col("c.m").alias("am"))
+    near = posts.join(centres, "token").where((F.col("doc_id") != F.col("a")) & _possible(F.col("n"), F.col("m"), F.col("an"), F.col("am")))
+    near = stored(near.select("a", "block", "doc_id").distinct(), "stars")
+    first = stored(block_links(near.select("a", "block").distinct(), near.select(F.col("doc_id").alias("id")).distinct(), ordered, blocks), "links")
     known = stored(components(first), "components")
     # What shingles hold several components yet.
     placed = stored(posts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rest = placed.join(mixed, "token")
-    left = rest.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "m", "component")])
-    right = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "m", "component")])
-    across = left.join(right, (left.token == right.token) & (F.col("component_a") < F.col("component_b")) & _possible(F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b"))).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    across = stored(across, "across")
+    rest = stored(placed.join(mixed, "token"), "mixed")
+    by_block = rest.groupBy("token", "block").agg(F.max("component").alias("high"), F.min("n").alias("least_n"), F.max("m").alias("most_m"))
+    across = rest.drop("block").join(by_block, "token").where((F.col("component") < F.col("high")) & _possible(F.col("n"), F.col("m"), F.col("least_n"), F.col("most_m")))
+    across = stored(across.select(F.col("doc_id").alias("a"), "block").distinct(), "across")
     if across.isEmpty():
         return known
-    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(across, ordered)))
+    more = block_links(across, rest.select(F.col("doc_id").alias("id")).distinct(), ordered, blocks)
+    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

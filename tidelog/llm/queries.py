@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidelog.llm import sql
 from tidelog.llm.fingerprints import op3_fingerprints
 from tidelog.llm.languages import op4_language_id
 from tidelog.llm.licences import op7_license_scan
@@ -26,4 +27,10 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The classifiers, tokenizers, hashes and curves of the others are beyond SQL; tests hold them against brute force,
+#: round trips, the libraries, or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": sql.OP1,
+    "op5_ngram_jaccard": sql.OP5,
+    "op7_license_scan": sql.OP7,
+}

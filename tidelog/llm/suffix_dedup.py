@@ -137,17 +137,27 @@ _REQUEST = "bucket int, block long, segments binary, lengths binary, ids binary"
 
 def _marked(batches: list[tuple[int, int, bytes, bytes, bytes]]) -> list[tuple[int, int, bytes]]:
     """(block, bucket, a 64-bit answer for each segment) of requests that meet in one task."""
-    lengths = [np.frombuffer(r[3], np.uint8).astype(np.int64) for r in batches]
-    size = np.concatenate(lengths)
-    owner = np.concatenate([np.frombuffer(r[4], np.int64) for r in batches])
-    raw = np.frombuffer(b"".join([r[2] for r in batches]), np.uint8)
+    index: dict[bytes, int] = {}
+    which, owners = [], []  # each request's segment among the distinct ones, and its id
+    for _, _, raw, lengths, ids in batches:
+        at = 0
+        for n in lengths:
+            which.append(index.setdefault(raw[at : at + n], len(index)))
+            at += n
+        owners.append(np.frombuffer(ids, np.int64))
+    which, owners = np.array(which), np.concatenate(owners)
+    owner = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(owner, which, owners)
+    size = np.array([len(x) for x in index], np.int64)
+    raw = np.frombuffer(b"".join(index), np.uint8)
+    del index
     begin = np.cumsum(size + 1) - (size + 1)  # a separator after each segment, and the end symbol
-    text = np.ones(len(raw) + len(size) + 1, np.uint16)
-    where = np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)
-    text[where] = raw.astype(np.uint16) + 2
+    # UTF-8 has no byte above 0xF7, so symbols with room for those two fit a byte.
+    text = np.ones(len(raw) + len(size) + 1, np.uint8)
+    text[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw + np.uint8(2)
     text[-1] = 0
     of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-    del raw, where
+    del raw
     answers = np.zeros(len(size), np.uint64)
     state = {"at": np.zeros(0, np.int64)}  # the windows of a group that may go on
 
@@ -187,10 +197,12 @@ def _marked(batches: list[tuple[int, int, bytes, bytes, bytes]]) -> list[tuple[i
 
     suffix_sort(text, LENGTH, emit)
     settle(state["at"], np.array([0]))
-    ends = np.cumsum([len(x) for x in lengths])
-    out = []
-    for (bucket, block, *_), b, n in zip(batches, ends.tolist(), [len(x) for x in lengths], strict=True):
-        out.append((block, bucket, answers[b - n : b].tobytes()))
+    # A request of a greater id than another of the same segment: all its windows are there.
+    found = np.where(owners > owner[which], np.uint64(2**64 - 1), answers[which])
+    out, at = [], 0
+    for bucket, block, _, lengths, _ in batches:
+        out.append((block, bucket, found[at : at + len(lengths)].tobytes()))
+        at += len(lengths)
     return out
 
 
