@@ -118,8 +118,8 @@ def license_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -
     if max(sized.values()) > CLASSES[-1]:
         raise ValueError(f"a template has more than {CLASSES[-1]} words")
     used = [L for L in CLASSES if by_class[L]]
-    known = spark.createDataFrame([(name, L, _words(templates[name])) for L in used for name in by_class[L]], "license string, span int, words array<string>")
-    known = known.select("license", "span", _shingle_hashes(F.col("words")).alias("wanted"))
+    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(L).alias("span"), F.split(F.lit(" ".join(_words(templates[name]))), " ").alias("words")) for L in used for name in by_class[L]])
+    known = spark.range(1).select(F.explode(listed).alias("t")).select("t.license", "t.span", _shingle_hashes(F.col("t.words")).alias("wanted"))
     keyed = known.select("license", "span", "wanted", F.explode(_signature(F.col("wanted"))).alias("band"))
 
     cut = docs.select("doc_id", "text").where(_has_any(F.col("text"), telling_words(templates))).select("doc_id", _text_words(F.col("text")).alias("words"))
