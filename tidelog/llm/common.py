@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.sources.shared import shared_folder
+
 #: Bytes of text handed to a numpy kernel at once; its work arrays take about sixty times that.
 SLICE_BYTES = 1 << 20
 #: Rows of such a slice, for kernels that hold a dense vector for each.
 SLICE_ROWS = 512
+#: Rows of a sample for fitting, on average; twice that at most.
+SAMPLE_ROWS = 6000
 #: Bytes of text that one block (the unit of a request and its reply) holds on average.
 BLOCK_BYTES = 8 << 20
 
@@ -25,21 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or where that is unset (tests) a local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor costs a reread."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -92,12 +84,12 @@ def held_out_column(col):
 def bounded_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
     """About per_class rows of each class (all of a smaller class), chosen by a hash of the id; never over twice that.
 
-    For fitting classifiers only. The classes are counted over all rows; there must be few of them.
+    For fitting classifiers only. The classes are counted over all rows; of many, each gives less: SAMPLE_ROWS in all.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(class_col).count().collect()}
     if not counts:
         return rows.limit(0)
-    space = 1 << 30
+    space, per_class = 1 << 30, max(1, min(per_class, SAMPLE_ROWS // len(counts)))
     rate = F.lit(0)
     for value, n in sorted(counts.items()):
         rate = F.when(F.col(class_col) == F.lit(value), int(space * min(1.0, per_class / n))).otherwise(rate)
