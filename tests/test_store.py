@@ -94,6 +94,16 @@ def test_put_all_and_multi_get(spark, tmp_path):
     assert store.as_of(4).select(F.decode("value", "utf-8")).first()[0] == "four"
 
 
+def test_staged_puts_and_poll(spark, tmp_path):
+    store = make(spark, tmp_path, checkpoint_bytes=4096)
+    slot = store.stage(spark.createDataFrame([(1, 3, "PUT", "x")], "key long, seq long, op string, value string"))
+    assert store.get(1)[0] == Status.NOT_FOUND
+    assert store.commit_slot(slot) == Status.OK and store.get(1)[2] == b"x"
+    assert store.commit_slot(slot) == Status.INVALID
+    assert store.meta["snapshot"] is None and store.poll() == Status.OK and store.meta["snapshot"]["seq"] == 3
+    assert store.get(1)[2] == b"x"
+
+
 def test_journal_prefix():
     assert M.valid_journal([(1, True), (2, True), (4, False), (5, True)]) == [1, 2]
     assert M.valid_journal([(3, True), (2, True)]) == [3]

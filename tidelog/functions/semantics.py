@@ -128,3 +128,8 @@ def capacity_for(max_entries: int, load_factor: float = 0.55) -> int:
 def throttle(pending: Column) -> Column:
     """Compaction's share of its rate by the number of waiting foreground operations."""
     return F.when(pending >= 1000, 0.0).when(pending >= 500, 0.25).when(pending >= 100, 0.5).otherwise(1.0)
+
+
+def checkpoint_due(seconds: Column, written: Column, dirty_segments: Column) -> Column:
+    """Whether a checkpoint should begin: after 300 seconds, 10 GiB of log, or eight changed segments."""
+    return (seconds >= 300) | (written >= 10 << 30) | (dirty_segments >= 8)

@@ -127,3 +127,17 @@ def first_after(located: DataFrame) -> DataFrame:
     """Where each file's next entry would lie: its write offset in pages."""
     newest = Window.partitionBy("file_id").orderBy(F.col("offset_index").desc())
     return located.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select("file_id", (F.col("offset_index") + F.col("page_count")).alias("write_offset"))
+
+
+def valid_pages(located: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Each file's pages that count as valid: files below that share of garbage have no bitmap, and all theirs do."""
+    stats = file_stats(located).select("file_id", (F.col("garbage_ratio") >= threshold).alias("_mapped"))
+    totals = located.groupBy("file_id").agg(F.sum("page_count").cast("long").alias("_all"))
+    mapped = bitmap_stats(valid_page_bitmap(located)).select("file_id", "valid_pages")
+    joined = totals.join(stats, "file_id").join(mapped, "file_id", "left")
+    return joined.select("file_id", F.when(F.col("_mapped"), F.coalesce("valid_pages", F.lit(0))).otherwise(F.col("_all")).cast("long").alias("valid_pages"))
+
+
+def from_position(located: DataFrame, file_id: int, offset_index: int) -> DataFrame:
+    """Entries at or after a checkpoint's position; files before it aren't read."""
+    return located.where((F.col("file_id") > file_id) | ((F.col("file_id") == file_id) & (F.col("offset_index") >= offset_index)))

@@ -61,3 +61,18 @@ def effective(log: DataFrame) -> DataFrame:
 def replay(snapshot: DataFrame, tail: DataFrame) -> DataFrame:
     """Live entries of a snapshot (with tombstones) and the log after it."""
     return live(snapshot.unionByName(tail))
+
+
+def journal_prefix(records: DataFrame, group: str = "group_id", order: str = "seq", good: str = "good") -> DataFrame:
+    """Of each group's records those before the first that is damaged; groups are a ring's few slots."""
+    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return records.withColumn("_whole", F.min(F.col(good).cast("int")).over(upto)).where("_whole = 1").drop("_whole")
+
+
+def locate(located: DataFrame, files: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (key) with the file and offset of their live entries; status -1 where there is none, or where the file
+    can't be read in its state."""
+    alive = latest(located).where(F.col("op") == "PUT").select("key", "file_id", "offset_index")
+    usable = alive.join(files.where(F.col("state").isin("ACTIVE", "SEALED", "COMPACTING")).select("file_id"), "file_id", "left_semi")
+    found = requests.join(usable, "key", "left")
+    return found.select("key", "file_id", "offset_index", F.when(F.col("file_id").isNull(), int(Status.NOT_FOUND)).otherwise(int(Status.OK)).alias("status"))

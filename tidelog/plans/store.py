@@ -163,8 +163,33 @@ class KvStore:
         found = stats.totals(self._log()).first().asDict()
         return found | {"load_factor": found["entry_count"] / (1 << max(0, (int(self.meta["options"]["max_entries"] / self.meta["options"]["load_factor"]) - 1).bit_length()))}
 
+    # -- two-phase puts: rows are staged in a folder of their own, and count from the commit on (an extension)
+
+    def stage(self, rows: DataFrame) -> str:
+        """Writes rows (key, seq, op, value) aside; the slot that commits them."""
+        slot = f"staging/{self.meta['version']:012d}-{uuid.uuid4().hex[:8]}"
+        rows.select("key", "seq", "op", F.col("value").cast("binary").alias("value")).write.parquet(f"{self.folder.path}/{slot}")
+        return slot
+
+    def commit_slot(self, slot: str) -> int:
+        """Appends what was staged; a slot that isn't there, or was committed already, is invalid."""
+        if self.state is not State.READY:
+            return Status.NOT_READY
+        if not slot.startswith("staging/") or not self.folder.exists(slot):
+            return Status.INVALID
+        status = self.put_all(self.spark.read.schema("key long, seq long, op string, value binary").parquet(f"{self.folder.path}/{slot}"))
+        self.folder.delete(slot)
+        return status
+
     # -- maintenance
 
+    def poll(self) -> int:
+        """What the loop between operations does: flushes what has come, and checkpoints when enough was written."""
+        if self.state is not State.READY:
+            return Status.NOT_READY
+        self.flush()
+        return self.checkpoint() if self.meta["since_checkpoint"] >= self.meta["options"]["checkpoint_bytes"] else Status.OK
+
     def checkpoint(self) -> int:
         """Writes a snapshot of all versions, tombstones too, and lets the log begin after it."""
         if self.state is not State.READY:

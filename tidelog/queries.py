@@ -238,3 +238,32 @@ def kv_throttle(spark, sf_dir):
 def kv_stream_upsert(spark, sf_dir):
     """The state of a stream over the events' file once all is read."""
     return upsert.latest_once(spark, f"{sf_dir}/events.parquet")
+
+
+@_query("select cast(s as bigint) as seconds, cast(w as bigint) as written, cast(d as bigint) as dirty, (s >= 300 or w >= 10737418240 or d >= 8) as due from (values (0, 0, 0), (300, 0, 0), (299, 10737418240, 0), (10, 5, 7), (10, 5, 8)) t(s, w, d)")
+def kv_checkpoint_due(spark, sf_dir):
+    cases = spark.createDataFrame([(0, 0, 0), (300, 0, 0), (299, 10737418240, 0), (10, 5, 7), (10, 5, 8)], "seconds long, written long, dirty long")
+    return cases.withColumn("due", S.checkpoint_due(F.col("seconds"), F.col("written"), F.col("dirty")))
+
+
+@_query(f"with {_LOC} select k as key, seq, cast(file_id as bigint) as file_id, cast(offset_index as bigint) as offset_index from loc where file_id > 10 or (file_id = 10 and offset_index >= 100)")
+def kv_scan_tail(spark, sf_dir):
+    return layout.from_position(_located(spark, sf_dir), 10, 100).select("key", "seq", "file_id", "offset_index")
+
+
+@_query(f"with {_FS} select cast(file_id as bigint) as file_id, cast(case when 1.0::double - valid_bytes::double / total_bytes::double >= 0.3 then valid_bytes // 4096 else total_bytes // 4096 end as bigint) as valid_pages from fs")
+def kv_page_validity(spark, sf_dir):
+    return layout.valid_pages(_located(spark, sf_dir))
+
+
+@_query("with j as (select event_id // 64 as group_id, event_id as seq, event_id % 41 <> 40 as good from events), p as (select *, bool_and(good) over (partition by group_id order by seq) as whole from j) select group_id, seq from p where whole")
+def kv_journal_prefix(spark, sf_dir):
+    records = _events(spark, sf_dir).select(F.floor(F.col("seq") / 64).cast("long").alias("group_id"), "seq", (F.col("seq") % 41 != 40).alias("good"))
+    return view.journal_prefix(records).select("group_id", "seq")
+
+
+@_query(f"with {_LIVE}, req as (select event_id as key from events where event_id < 300) select req.key, cast(file_id as bigint) as file_id, cast(offset_index as bigint) as offset_index, cast(case when live.k is null then -1 else 0 end as integer) as status from req left join live on live.k = req.key")
+def kv_locate(spark, sf_dir):
+    located = _located(spark, sf_dir)
+    requests = _events(spark, sf_dir).where(F.col("seq") < 300).select(F.col("seq").alias("key"))
+    return view.locate(located, layout.file_stats(located), requests)
