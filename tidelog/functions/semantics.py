@@ -15,7 +15,8 @@ MAX_VALUE = 256 << 20
 MAX_PAGES = 65535
 MAX_FILES = 1024
 MAX_OFFSET = (1 << 21) - 1
-MAGIC = 0x5344504B
+#: Marks an entry: "TLOG".
+MAGIC = 0x544C4F47
 
 
 class Status(IntEnum):
