@@ -39,7 +39,7 @@ SHINGLE = 5
 #: Bytes of text in a block, on average.
 TEXT_BYTES = 4 << 20
 #: Bytes of ordered sets in a block of the trie join, on average.
-TRIE_BYTES = 1 << 20
+TRIE_BYTES = 4 << 20
 
 
 def needed(n):
@@ -278,7 +278,11 @@ def class_links(ordered: DataFrame) -> DataFrame:
     """(node, component) of the classes that link with others."""
     total = ordered.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     blocks = exchange.block_count(total, TRIE_BYTES)
-    posts = stored(ordered.select("doc_id", "n", "m", exchange.block_of(F.col("doc_id"), blocks).alias("block"), F.explode("prefix").alias("token")), "postings")
+    every = stored(ordered.select("doc_id", "n", "m", exchange.block_of(F.col("doc_id"), blocks).alias("block"), F.explode("prefix").alias("token")), "postings")
+    # Shingles of one passage mostly have the same documents: of those with equal lists (by 128 bits) one will do, and
+    # those with a single document none.
+    lists = every.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("df > 1")
+    posts = stored(every.join(lists.groupBy("df", "x", "y").agg(F.min("token").alias("token")).select("token"), "token"), "postings")
     one = F.struct("doc_id", "n", "m")
     ends = posts.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.doc_id <> high.doc_id")
     centres = ends.select("token", F.explode(F.array("low", "high")).alias("c")).select("token", F.col("c.doc_id").alias("a"), F.col("c.n").alias("an"), F.col("c.m").alias("am"))
