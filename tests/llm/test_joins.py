@@ -61,6 +61,28 @@ def test_null_ids_repeats_and_empty(make_docs):
     assert ngram_join.jaccard_components(make_docs([])).isEmpty()
 
 
+def test_doubled_table_equals_brute_force(make_docs):
+    rng = random.Random(4)
+    rows = []
+    for g in range(8):
+        base = [f"g{g}w{rng.randint(0, 999)}" for _ in range(60)]
+        for _ in range(2):
+            w = list(base)
+            w[rng.randrange(60)] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows *= 2
+    found = ngram_join.jaccard_components(make_docs(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute(rows)
+
+
+def test_texts_of_one_id_link_by_each(make_docs):
+    """Id 1 has four texts, in pairs of equal size that share most shingles; each group has another document."""
+    words = lambda g, end: " ".join([f"{g}{k}" for k in range(60)] + [end])
+    rows = [(1, words(g, e)) for g in "ab" for e in ("one", "two")] + [(5, words("a", "three")), (6, words("b", "three")), (8, words("c", "one")), (9, words("c", "two"))]
+    found = ngram_join.jaccard_components(make_docs(rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (5, 1), (6, 1), (8, 8), (9, 8)}
+
+
 def test_components_of_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 50), (60, 61), (61, 60), (None, 3)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -25,6 +25,10 @@ its component is null unless the class has one with an id. Shingles are compared
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -114,6 +118,21 @@ def _class_rows(texts: pa.Table, notes: pa.Table) -> pa.Table:
     return texts.filter(pc.is_in(texts.column("doc_id"), value_set=ids.combine_chunks()))
 
 
+def _class_sets(texts: pa.Table, notes: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(doc_id, shingles) of the rows with a class id; a set that an id has in several rows comes once."""
+    rows = _class_rows(texts, notes)
+    times = Counter(rows.column("doc_id").to_pylist())
+    seen: set[tuple[int, bytes]] = set()
+    for batch in _text_slices(rows):
+        for doc_id, s in zip(batch.column("doc_id").to_pylist(), _split(*shingle_sets(batch.column("text"))), strict=True):
+            if times[doc_id] > 1:
+                mark = doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                if mark in seen:
+                    continue
+                seen.add(mark)
+            yield doc_id, s
+
+
 def candidate_sets(docs: DataFrame, classes: DataFrame, total_bytes: int) -> DataFrame:
     """doc_id, n, block, tokens (ascending hashes) of the classes that their sketches leave in."""
     spark = docs.sparkSession
@@ -125,9 +144,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, total_bytes: int) -> Dat
     wanted = classes.select(exchange.block_of(F.col("class_id"), blocks).alias("block"), F.lit(0).alias("kind"), "class_id", empty.alias("keys"), empty.alias("counts"))
 
     def ask(key, left, right):
-        found = []
-        for batch in _text_slices(_class_rows(left, right)):
-            found += [_sketch(s) for s in _split(*shingle_sets(batch.column("text")))]
+        found = [_sketch(s) for _, s in _class_sets(left, right)]
         keys, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         return exchange.ask_table(exchange.packed(key[0].as_py(), keys, counts, bits))
 
@@ -140,11 +157,9 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, total_bytes: int) -> Dat
         keys, counts = exchange.merged_reply(known.column("keys").to_pylist(), known.column("counts").to_pylist())
         rows = []
         if len(keys):
-            for batch in _text_slices(_class_rows(left, right)):
-                code, n = shingle_sets(batch.column("text"))
-                for doc_id, s in zip(batch.column("doc_id").to_pylist(), _split(code, n), strict=True):
-                    if len(s) and (exchange.looked_up(_sketch(s), keys, counts) > 0).sum() >= max(1, needed(len(s)) // 5):
-                        rows.append((doc_id, len(s), s.tobytes()))
+            for doc_id, s in _class_sets(left, right):
+                if len(s) and (exchange.looked_up(_sketch(s), keys, counts) > 0).sum() >= max(1, needed(len(s)) // 5):
+                    rows.append((doc_id, len(s), s.tobytes()))
         return exchange.as_table(rows, [pa.int64(), pa.int64(), pa.binary()], ["doc_id", "n", "tokens"])
 
     return stored(texts.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(answer, "doc_id long, n long, tokens binary"), "candidates")
@@ -154,7 +169,10 @@ _ORDERED = "doc_id long, n long, m long, tokens binary, prefix array<long>"
 
 
 def ordered_sets(candidates: DataFrame) -> DataFrame:
-    """Of the candidates that share enough: n, m shared shingles, these in global order, and those to index."""
+    """Of the candidates that share enough: n, m shared shingles, these in global order, and those to index.
+
+    Sets of one id with equal n and m index a shingle that they share once.
+    """
     spark = candidates.sparkSession
     total = candidates.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     blocks = exchange.block_count(total, TRIE_BYTES * 4)
@@ -171,13 +189,20 @@ def ordered_sets(candidates: DataFrame) -> DataFrame:
     def answer(key, left, right):
         keys, counts = exchange.merged_reply(right.column("keys").to_pylist(), right.column("counts").to_pylist())
         rows = []
+        times = Counter(left.column("doc_id").to_pylist())
+        indexed: dict[tuple[int, int, int], set[int]] = {}
         for doc_id, n, raw in zip(*[left.column(c).to_pylist() for c in ("doc_id", "n", "tokens")], strict=True):
             s = np.frombuffer(raw, np.uint64)
             df = exchange.looked_up(s, keys, counts)
             s, df = s[df > 0], df[df > 0]
             if len(s) >= needed(n):
                 s = s[np.lexsort((s, df))]
-                rows.append((doc_id, n, len(s), s.tobytes(), s[: len(s) - needed(n) + 1].view(np.int64).tolist()))
+                prefix = s[: len(s) - needed(n) + 1].view(np.int64).tolist()
+                if times[doc_id] > 1:
+                    before = indexed.setdefault((doc_id, n, len(s)), set())
+                    prefix = [t for t in prefix if t not in before]
+                    before.update(prefix)
+                rows.append((doc_id, n, len(s), s.tobytes(), prefix))
         return exchange.as_table(rows, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], ["doc_id", "n", "m", "tokens", "prefix"])
 
     return stored(sets.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(answer, _ORDERED), "ordered")
@@ -280,10 +305,10 @@ def class_links(ordered: DataFrame) -> DataFrame:
     blocks = exchange.block_count(total, TRIE_BYTES)
     every = stored(ordered.select("doc_id", "n", "m", exchange.block_of(F.col("doc_id"), blocks).alias("block"), F.explode("prefix").alias("token")), "postings")
     # Shingles of one passage mostly have the same documents: of those with equal lists (by 128 bits) one will do, and
-    # those with a single document none.
-    lists = every.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("df > 1")
-    posts = stored(every.join(lists.groupBy("df", "x", "y").agg(F.min("token").alias("token")).select("token"), "token"), "postings")
+    # those with a single document none. A list has no (doc_id, n, m) twice, so nothing cancels in the sums.
     one = F.struct("doc_id", "n", "m")
+    lists = every.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64(one)).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(1))).alias("y")).where("df > 1")
+    posts = stored(every.join(lists.groupBy("df", "x", "y").agg(F.min("token").alias("token")).select("token"), "token"), "postings")
     ends = posts.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.doc_id <> high.doc_id")
     centres = ends.select("token", F.explode(F.array("low", "high")).alias("c")).select("token", F.col("c.doc_id").alias("a"), F.col("c.n").alias("an"), F.col("c.m").alias("am"))
     near = posts.join(centres, "token").where((F.col("doc_id") != F.col("a")) & _possible(F.col("n"), F.col("m"), F.col("an"), F.col("am")))
