@@ -116,6 +116,24 @@ def test_neighbours_exact_on_small_tables_with_bad_rows(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
 
 
+def test_repeated_ids_take_no_places(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(120)]
+    near = [(500, (np.array(rows[20][1]) * (2 + j / 10)).tolist()) for j in range(25)]  # one id fills the first places of query 20
+    found = neighbours.nearest(spark.createDataFrame(rows + rows + near, "vec_id long, embedding array<double>")).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(set(got.pop(500))) == 20
+    vectors = [(i, np.array(v)) for i, v in rows + near]
+    for q, ids in got.items():
+        own, best = np.array(rows[q][1]), {}
+        for i, v in vectors:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float((v * own).sum()))
+        assert ids == sorted(best, key=lambda i: (-best[i], i))[:20]
+
+
 def test_hilbert_curve_steps_to_neighbours():
     for d, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), -1).reshape(-1, d)

@@ -158,6 +158,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         if side[0][0] and side[1][0]:
             ids, asks = np.concatenate(side[0][0]), np.concatenate(side[1][0])
             v, q = np.concatenate(side[0][1]).astype(np.float64), np.concatenate(side[1][1])
+            order = np.argsort(ids, kind="stable")  # rows of one id side by side
+            ids, v = ids[order], v[order]
             for at in range(0, len(asks), 256):
                 out += _best(asks[at : at + 256], q[at : at + 256].astype(np.float64), ids, v, k)
         return exchange.as_table(out, [pa.int64(), pa.binary(), pa.binary()], ["query_id", "ids", "scores"])
@@ -198,18 +200,23 @@ def _pack(out: list, slots: np.ndarray, kind: int, at: np.ndarray, ids: np.ndarr
 
 
 def _best(asks: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> list[tuple]:
+    """The k best ids of each query, each by its best row; `ids` is ascending."""
     rough = q @ v.T
+    begins = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     out = []
     for row, ask, own in zip(rough, asks.tolist(), q, strict=True):
         row[ids == ask] = -np.inf
-        if len(row) > k:
-            # Equal vectors may differ in the last bit here: keep all near the k-th, then compare exact sums.
-            edge = np.partition(row, len(row) - k)[len(row) - k]
+        if len(begins) > k:
+            # Equal vectors may differ in the last bit here: keep all near the k-th id's, then compare exact sums.
+            tops = np.maximum.reduceat(row, begins) if len(begins) < len(row) else row
+            edge = np.partition(tops, len(tops) - k)[len(tops) - k]
             at = np.flatnonzero(row >= edge - 1e-12 * max(1.0, abs(edge)) if np.isfinite(edge) else np.isfinite(row))
         else:
             at = np.flatnonzero(np.isfinite(row))
         score = (v[at] * own).sum(axis=1)
-        order = np.lexsort((ids[at], -score))[:k]
+        order = np.lexsort((-score, ids[at]))
+        order = order[np.concatenate([[True], ids[at][order][1:] != ids[at][order][:-1]])] if len(order) else order
+        order = order[np.lexsort((ids[at][order], -score[order]))[:k]]
         if len(order):
             out.append((ask, ids[at][order].tobytes(), score[order].tobytes()))
     return out
