@@ -125,3 +125,14 @@ def test_simhash_of_slices_is_the_same():
     texts = pa.array(["one two three " * 40, None, "", "x"] * 3)
     whole = fp.simhash(texts)
     assert all((fp.simhash(texts.slice(i, 1))[0] == whole[i]).all() for i in range(len(texts)))
+
+
+def test_one_word_less_is_near_at_every_length():
+    rng = np.random.default_rng(2)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(2000)])
+    apart = {}
+    for n in (16, 23, 24, 25, 48, 95, 96, 97):
+        texts = [rng.choice(words, n) for _ in range(100)]
+        whole, cut = (fp.simhash(pa.array([" ".join(t[:k]) for t in texts])) for k in (n, n - 1))
+        apart[n] = 256 * (1 - fp.likeness(whole, cut)).mean()
+    assert all(apart[b] < apart[a] + 1 for a, b in zip(list(apart), list(apart)[1:])) and apart[24] < 24, apart

@@ -1,8 +1,9 @@
 """SimHash document fingerprints and the search for near ones.
 
-Terms are the pairs of adjacent lower-cased words of a text (weight 2); texts of fewer than SHORT_WORDS words also
-vote with their single words and their four-byte grams (weight 1 each). Each occurrence votes with its weight for the bits
-of its hash and against the others; a fingerprint has the bits whose votes are positive.
+Terms are the pairs of adjacent lower-cased words of a text (weight 2), its single words and its four-byte grams. The
+weight of the latter two falls smoothly with the words of the text, as (1 - words / FADE_WORDS) squared, and is 0 from
+FADE_WORDS on: no length has a neighbour of another scheme. Each occurrence votes with its weight for the bits of its
+hash and against the others; a fingerprint has the bits whose votes are positive.
 
 near_fingerprints() finds all pairs within a Hamming radius r: bits are cut into r + 3 blocks, and for each choice of
 3 blocks a table is keyed by them; two fingerprints that differ in at most r bits agree on 3 blocks at least, so they
@@ -29,7 +30,7 @@ from tidelog.llm import kernels
 from tidelog.llm.common import map_slices, shuffle_partitions, slices, stored, table
 
 BITS = 256
-SHORT_WORDS = 24
+FADE_WORDS = 96
 _TERMS = 8192  # voting at once; their bits take 2 MB
 
 
@@ -58,23 +59,24 @@ def simhash(column: pa.Array) -> np.ndarray:
     lower = kernels.LOWER[data]
     starts, lengths, rows = kernels.words(data, offsets, ~kernels.IS_SPACE)
     h = kernels.word_hashes(lower, starts, lengths)
-    yes, total = np.zeros((n, BITS), np.int32), np.zeros(n, np.int64)
-    few = np.bincount(rows, minlength=n) < SHORT_WORDS
-    if few.any():
-        yes, total = _votes(h[few[rows]], rows[few[rows]], n)
+    yes, total = np.zeros((n, BITS), np.int64), np.zeros(n, np.int64)
+    fade = np.maximum(0, FADE_WORDS - np.bincount(rows, minlength=n)) ** 2
+    short = fade > 0
+    if short.any():
+        more, extra = _votes(h[short[rows]], rows[short[rows]], n)
+        yes, total = yes + fade[:, None] * more, total + fade * extra
     if len(h) > 1:
         same = rows[1:] == rows[:-1]
         pair = kernels.mix(h[:-1] * np.uint64(3) + h[1:])[same]
         more, extra = _votes(pair, rows[:-1][same], n)
-        yes, total = yes + 2 * more, total + 2 * extra
-    short = np.bincount(rows, minlength=n) < SHORT_WORDS
+        yes, total = yes + 2 * FADE_WORDS**2 * more.astype(np.int64), total + 2 * FADE_WORDS**2 * extra
     if short.any() and len(lower) >= 4:
         of = np.repeat(np.arange(n), np.diff(offsets))
         use = np.flatnonzero((of[3:] == of[:-3]) & short[of[:-3]])
         b = lower.astype(np.uint64)
         gram = b[use] | (b[use + 1] << np.uint64(8)) | (b[use + 2] << np.uint64(16)) | (b[use + 3] << np.uint64(24))
         more, extra = _votes(kernels.mix(gram + np.uint64(1 << 40)), of[use], n)
-        yes, total = yes + more, total + extra
+        yes, total = yes + fade[:, None] * more, total + fade * extra
     return np.packbits(2 * yes > total[:, None], axis=1)
 
 
