@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import licences, url_filters
+from tidelog.llm import licences, toxicity, url_filters
 from tidelog.llm.common import held_out, table
 from tidelog.llm.languages import codewords, fit_languages, identify, with_language
 from tidelog.llm.toxicity import fit_toxicity, score_toxicity
@@ -152,3 +153,11 @@ def test_pipeline_stages_on_odd_rows(spark, make_docs, tmp_path):
     assert cut[1] is None and cut[2] == "" and 5 not in cut and cut[6].endswith("more words of it") and cut[None] == rows[5][1]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, make_docs([]), sf).count() == 0
+
+
+def test_last_window_of_the_last_text_counts():
+    begins, ends = np.array([0, 3]), np.array([2, 5])
+    x = np.zeros((5 + toxicity._PAD, 2), np.float32)
+    x[4] = 7  # the window that starts at the last word
+    filters = [np.ones((1, 2, 3), np.float32)]
+    assert toxicity._pooled(x, begins, ends, filters).tolist() == [[0.0] * 3, [14.0] * 3]

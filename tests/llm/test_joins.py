@@ -83,6 +83,14 @@ def test_texts_of_one_id_link_by_each(make_docs):
     assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (5, 1), (6, 1), (8, 8), (9, 8)}
 
 
+def test_digests_before_empty_texts_are_whole(make_docs):
+    texts = ["a b c d e f g", "a b c d e f h"]
+    alone = {r.doc_id: (r.d1, r.d2) for r in ngram_join.set_digests(make_docs(list(enumerate([*texts, "z"]))).coalesce(1)).collect()}
+    for k, text in enumerate(texts):
+        found = {r.doc_id: (r.d1, r.d2) for r in ngram_join.set_digests(make_docs([(k, text), (8, ""), (9, None)]).coalesce(1)).collect()}
+        assert found == {k: alone[k], 8: (0, 0), 9: (0, 0)}
+
+
 def test_components_of_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 50), (60, 61), (61, 60), (None, 3)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -93,8 +93,9 @@ def set_digests(docs: DataFrame) -> DataFrame:
 
     def run(batch):
         code, n = shingle_sets(batch.column("text"))
-        cuts = np.minimum(np.cumsum(n) - n, max(0, len(code) - 1))
-        digest = [np.where(n > 0, np.add.reduceat(v, cuts) if len(v) else np.zeros(len(n), np.uint64), 0).astype(np.uint64).view(np.int64) for v in (kernels.mix(code + np.uint64(1)), kernels.mix(code ^ kernels.BASE))]
+        cuts = np.cumsum(n) - n
+        # One more hash, for the begins of empty sets behind all others.
+        digest = [np.where(n > 0, np.add.reduceat(np.append(v, np.uint64(0)), cuts), 0).astype(np.uint64).view(np.int64) for v in (kernels.mix(code + np.uint64(1)), kernels.mix(code ^ kernels.BASE))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest[0]), pa.array(digest[1])], ["doc_id", "n_shingles", "d1", "d2"])
 
     return map_slices(docs.select("doc_id", "text"), "text", run, "doc_id long, n_shingles long, d1 long, d2 long")

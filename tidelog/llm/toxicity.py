@@ -119,7 +119,8 @@ def _pooled(x: np.ndarray, begins: np.ndarray, ends: np.ndarray, filters: list[n
     tops = []
     for w in filters:
         z = _convolved(x, w)
-        tops.append(np.maximum.reduceat(z, np.minimum(cuts, len(z) - 1), axis=0)[::2])
+        z = np.concatenate([z, np.zeros((1, z.shape[1]), z.dtype)])  # the last end is len(z); its row is in no text
+        tops.append(np.maximum.reduceat(z, cuts, axis=0)[::2])
     return np.concatenate(tops, axis=1)
 
 
