@@ -35,6 +35,23 @@ def test_sentencepiece_equals_the_library_and_spans_cover(spark, make_docs):
     assert sentencepieces.piece_digests(make_docs([]), PIECES).isEmpty()
 
 
+def test_every_text_of_op2_goes_through_alignment_and_own_merges(make_docs):
+    own = sentencepieces.PieceModel(PIECES)
+    for text, (count, joined, decoded, spans) in zip(ODD, own.digests(ODD), strict=True):
+        want = own.encode_spans(text)
+        assert joined == ",".join(str(x[0]) for x in want) and count == len(want)
+        assert spans.tolist() == [[a, b] for _, a, b in want]
+    # The walk of every character through a map that has none of them aligns as the empty map does.
+    walked = sentencepieces.PieceModel(PIECES)
+    walked.plain, walked.map.units = False, tuple([256 << 10] + [0] * 1023)
+    for text in ODD:
+        (a, x), (b, y) = own.normalise(text), walked.normalise(text)
+        assert a == b and x.tolist() == y.tolist()
+    found = {r.doc_id: r.spans_sha256 for r in sentencepieces.piece_digests(make_docs(list(enumerate(ODD))), PIECES).collect()}
+    for i, text in enumerate(ODD):
+        assert found[i] == hashlib.sha256(np.array([s[1:] for s in own.encode_spans(text)], "<i8").tobytes()).hexdigest()
+
+
 def test_charmap_takes_the_longest_prefix():
     """A hand-made double array: 'a' -> 'x', 'ab' -> 'yz'."""
     units = [0] * 1024

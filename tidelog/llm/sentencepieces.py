@@ -16,7 +16,9 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -81,6 +83,7 @@ class PieceModel:
         self.score = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if kinds[i] == kind.BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.low = {kinds.index(kind.UNKNOWN), *self.byte_of}
         self.names = [str(i) for i in range(len(self.pieces))]
         self.silent = {i for i, k in enumerate(kinds) if k == kind.CONTROL}
         self.unk = kinds.index(kind.UNKNOWN)
@@ -90,17 +93,16 @@ class PieceModel:
         self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.plain = not self.map.units and self.dummy and not self.squeeze and self.escape
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        if self.plain:
-            from sentencepiece import SentencePieceProcessor
-
-            self._library = SentencePieceProcessor(model_file=path)
+        self.cache: dict[str, tuple[int, str, str, int, bytes, bytes]] = {}
 
     # -- normalisation
 
-    def normalise(self, text: str) -> tuple[str, list[int]]:
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its characters and its end the byte offset in the source."""
         data = text.encode()
+        if self.plain and data:  # an empty map: every character stands for itself
+            starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            return SPACE + text.replace(" ", SPACE), np.concatenate([[0], starts, [len(data)]])
         units: list[tuple[str, int, int]] = []
         at = 0
         while at < len(data):
@@ -117,7 +119,7 @@ class PieceModel:
             while units and units[0][0] in (" ", ""):
                 units.pop(0)
         if not units:
-            return "", [len(data)]
+            return "", np.array([len(data)])
         chars, align = [], []
         if self.dummy:
             chars.append(SPACE if self.escape else " ")
@@ -135,7 +137,7 @@ class PieceModel:
             while chars and chars[-1] in (SPACE, " "):
                 chars.pop()
                 end = align.pop()
-        return "".join(chars), [*align, end]
+        return "".join(chars), np.array([*align, end])
 
     # -- merges
 
@@ -203,6 +205,7 @@ class PieceModel:
     def encode_spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, first source byte, end of source bytes) of each piece of the text."""
         normal, align = self.normalise(text)
+        align = align.tolist()
         out, at = [], 0
         for segment in self.segments(normal):
             for piece in self.merge(segment):
@@ -238,35 +241,45 @@ class PieceModel:
             first = False
         return "".join(out)
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text the number of ids, the ids joined by commas, and the decoded text.
-
-        Segments are cached; those not yet seen are merged together, by the library's own merger where the model
-        normalises nothing (it then takes a segment as it stands), else by `merge`.
+    def _coded(self, segment: str) -> tuple[int, str, str, int, bytes, bytes]:
+        """Of a segment: the number of ids, the ids joined by commas, what they spell, its characters, and the first
+        character and the end of each id's piece."""
+        ids, begins, ends, at = [], [], [], 0
+        for piece in self.merge(segment):
+            own = self._ids(piece)
+            ids += own
+            begins += [at] * len(own)
+            at += len(piece)
+            ends += [at] * len(own)
+        # Without byte pieces the pieces of a segment spell the segment itself.
+        spelt = segment.replace(SPACE, " ") if self.low.isdisjoint(ids) else self.decode([self.unk, *ids])[len(self.unk_surface) :]
+        return len(ids), ",".join([self.names[i] for i in ids]), spelt, at, array("i", begins).tobytes(), array("i", ends).tobytes()
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str, np.ndarray]]:
+        """For each text the number of ids, the ids joined by commas, the decoded text, and the spans of the ids: rows
+        of (first source byte, end of source bytes), as encode_spans gives them. Segments' pieces are cached.
         """
-        cut, get = self.segments, self.cache.get
-        rows = [cut(SPACE + t.replace(" ", SPACE) if self.plain else self.normalise(t)[0]) if t else [] for t in texts]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        new = list({s for row in rows for s in row if get(s) is None})
-        fresh = self._library.encode([s[1:] for s in new], num_threads=1) if self.plain and self.cuttable else [[i for p in self.merge(s) for i in self._ids(p)] for s in new]
-        hide, low, names = len(self.unk_surface), {self.unk, *self.byte_of}, self.names
-        for s, ids in zip(new, fresh, strict=True):
-            if self.plain and s == SPACE:
-                ids = self._ids(SPACE)
-            # Without byte pieces the pieces of a segment spell the segment itself.
-            spelt = s.replace(SPACE, " ") if low.isdisjoint(ids) else self.decode([self.unk, *ids])[hide:]
-            self.cache[s] = len(ids), ",".join([names[i] for i in ids]), spelt
-        out = []
-        for row in rows:
-            found = [get(s) for s in row]
+        get, out = self.cache.get, []
+        for text in texts:
+            normal, align = self.normalise(text)
+            found = []
+            for s in self.segments(normal):
+                x = get(s)
+                if x is None:
+                    x = self.cache[s] = self._coded(s)
+                found.append(x)
+            counts, sizes = np.array([x[0] for x in found], np.int64), np.array([x[3] for x in found], np.int64)
+            base = np.repeat(np.cumsum(sizes) - sizes, counts)
+            spans = np.stack([align[np.frombuffer(b"".join([x[k] for x in found]), np.int32) + base] for k in (4, 5)], axis=1)
             decoded = "".join([x[2] for x in found])
             if (self.dummy or self.squeeze) and decoded.startswith(" "):
                 decoded = decoded.lstrip(" ") if self.squeeze else decoded[1:]
-            out.append((sum([x[0] for x in found]), ",".join([x[1] for x in found]), decoded))
+            out.append((int(counts.sum()), ",".join([x[1] for x in found]), decoded, spans))
         return out
 
-    def digest(self, text: str) -> tuple[int, str, str]:
+    def digest(self, text: str) -> tuple[int, str, str, np.ndarray]:
         return self.digests([text])[0]
 
 
@@ -318,18 +331,22 @@ def encode_pieces(df: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; one pass, no shuffle."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 of every whole text; one pass, no shuffle.
+
+    The last is of the source span of each id: first byte and end, as little-endian 64-bit numbers.
+    """
 
     def run(batch):
         m = model(path)
-        n, ids, decoded = [], [], []
-        for count, joined, out in m.digests([t or "" for t in batch.column("text").to_pylist()]):
+        n, ids, decoded, projected = [], [], [], []
+        for count, joined, out, spans in m.digests([t or "" for t in batch.column("text").to_pylist()]):
             n.append(count)
             ids.append(hashlib.sha256(joined.encode()).hexdigest())
             decoded.append(hashlib.sha256(out.encode()).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            projected.append(hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(projected, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return map_slices(docs.select("doc_id", "text"), "text", run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 4 << 20)
+    return map_slices(docs.select("doc_id", "text"), "text", run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", 4 << 20)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
