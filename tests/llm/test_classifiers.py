@@ -95,7 +95,7 @@ def plain_matches(text):
     words, out = licences._words(text or ""), set()
     for name, wording in licences.TEMPLATES.items():
         own = licences._words(wording)
-        span = next(L for L in licences.CLASSES if len(own) <= L)
+        span = licences.span_of(wording)
         want = set(licences._shingles(own))
         for at in range(0, max(1, len(words)), span):
             if len(want & set(licences._shingles(words[at : at + 2 * span]))) / len(want) >= licences.CONTAINMENT:
@@ -120,6 +120,23 @@ def test_license_scan_equals_brute_force(spark, make_docs):
     assert licences.license_matches(make_docs([])).isEmpty()
 
 
+def test_license_scan_of_long_texts_and_long_templates(spark, make_docs):
+    """A text of 400,000 words, and a template of 1,500 of them."""
+    rng = random.Random(8)
+    whole = " ".join(f"clause{rng.randint(0, 400)}" for _ in range(1500))
+    worn = whole.split()
+    for k in range(0, 1500, 100):
+        worn[k] = "worn"
+    filler = "license some words here and there " * 66_667
+    grant = licences.TEMPLATES["mit-grant"]
+    templates = {"whole": whole, "grant": grant, "nothing": " - "}
+    rows = [(1, filler + grant), (2, filler[:9000] + " ".join(worn) + filler[:500]), (3, " ".join(whole.split()[:1100])), (2, None)]
+    found = {(r.doc_id, r.license): r for r in licences.license_matches(make_docs(rows), templates).collect()}
+    assert set(found) == {(1, "grant"), (2, "whole")}
+    assert found[1, "grant"].first_word + 2 * licences.span_of(grant) >= 400_000 and 0.9 < found[2, "whole"].containment < 1
+    assert licences.license_matches(make_docs(rows[:1]), {"nothing": " - "}).isEmpty()
+
+
 def test_no_match_is_without_a_telling_word():
     told = set(licences.telling_words(licences.TEMPLATES))
     for text in licences.TEMPLATES.values():

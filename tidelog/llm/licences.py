@@ -1,14 +1,17 @@
 """License scans: MinHash bands retrieve templates for overlapping windows, shingle containment verifies them.
 
-Texts are sequences of words (runs of ASCII letters and digits, lower-cased). Templates fall into classes by length;
-a class of up to L words looks at windows of 2 L words that start every L words, so each occurrence lies in a window
-whole. Windows and templates are sets of SHINGLE-word shingles. A window meets the templates with which it shares one
-of BANDS MinHash values (bands of one row): a template that is contained to CONTAINMENT has at least a tenth of the
-window's shingles, so the chance to miss it is below 0.9 ** BANDS, a millionth. A match has at least CONTAINMENT of the
-template's shingles in one window, counted exactly.
-
-Only texts with one of a few telling words are cut into windows: words chosen so that fewer than CONTAINMENT of any
-template's shingles lack them, which loses nothing, since a match then has one of them. All of it is built-in
+Texts are sequences of words (runs of ASCII letters and digits, lower-cased). Templates fall into classes by length,
+which double from SHORTEST words to whatever the longest template needs; a class of up to L words looks at windows of
+2 L words that start every L words, so each occurrence lies in a window whole. Windows and templates are sets of
+SHINGLE-word shingles. A window meets the templates with which it shares one of BANDS MinHash values (bands of one
+row): a template that is contained to CONTAINMENT has at least a twelfth of the window's shingles, so the chance to
+miss it is below (11 / 12) ** BANDS, one in 68,000. A match has at least CONTAINMENT of the template's shingles in one
+window, counted exactly.
+
+Two steps before the bands lose nothing. Only texts with one of a few telling words are cut into shingles: words chosen
+so that fewer than CONTAINMENT of any template's shingles lack them. And only windows around a shingle that some
+template has are made, since others share no MinHash value with one. A text's shingles are hashed once, and a window
+is a slice of these hashes, so work and memory grow with the text's length, not its square. All of it is built-in
 functions; no Python runs on the executors.
 
 Defined results: null and empty texts match nothing; repeated rows and null ids are judged row by row (rows that share
@@ -18,7 +21,7 @@ an id show one result); an empty table gives no rows; ties and overlapping windo
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,8 @@ from tidelog.llm.common import table
 SHINGLE = 5
 BANDS = 128
 CONTAINMENT = 0.8
-#: Longest template, in words, of each class.
-CLASSES = (8, 16, 32, 64, 128, 256)
+#: Words of the longest template of the first class; each further class has twice as many.
+SHORTEST = 8
 
 # The wording of common license notices.
 TEMPLATES = {
@@ -60,6 +63,14 @@ def _shingles(words: list[str]) -> list[tuple[str, ...]]:
     return sorted({tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}) if words else []
 
 
+def span_of(wording: str) -> int:
+    """The class of a template: the words of its longest one."""
+    span, n = SHORTEST, len(_words(wording))
+    while span < n:
+        span *= 2
+    return span
+
+
 def telling_words(templates: Mapping[str, str], containment: float = CONTAINMENT) -> list[str]:
     """Words of which every part of a template that counts as a match has one: chosen greedily, common ones last,
     until fewer shingles of each template lack them than a match needs."""
@@ -78,6 +89,11 @@ def telling_words(templates: Mapping[str, str], containment: float = CONTAINMENT
         out.append(max(counts, key=lambda w: (w not in _COMMON, len(w) > 3, counts[w], w)))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often and deep it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _has_any(text: Column, words: list[str]) -> Column:
     """Whether a lower-cased text holds any of the strings; the lambda lower-cases it once."""
 
@@ -100,9 +116,10 @@ def _signature(shingles: Column) -> Column:
 
 
 def _shingle_hashes(words: Column) -> Column:
-    """Distinct hashes of the shingles of a word array; shorter arrays are one shingle, empty ones none."""
+    """The hash of each shingle of a word array, in order; shorter arrays are one shingle, empty ones none."""
     last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
-    return F.when(F.size(words) > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, SHINGLE)))))).otherwise(F.array().cast("array<bigint>"))
+    # Single words are read from the array: a slice would copy all of it, here for each shingle and below for each window.
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _text_words(text: Column) -> Column:
@@ -110,25 +127,41 @@ def _text_words(text: Column) -> Column:
     return F.filter(F.split(lower, "[^0-9a-z]+"), lambda w: w != "")
 
 
+def _windows(hashes: Column, spots: Column, span: int) -> Column:
+    """The windows of a class around the spots (indexes of shingles): span, first word, distinct hashes."""
+    # A shingle that starts at word i lies in the window that starts at the last multiple of span, or the one before.
+    starts = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.array(i - i % span, F.greatest(i - i % span - span, F.lit(0))))))
+    inside = lambda at: F.sequence(at, F.least(at + 2 * span - SHINGLE, F.size(hashes) - 1))
+    return F.transform(starts, lambda at: F.struct(F.lit(span).alias("span"), at.alias("first_word"), F.array_distinct(F.transform(inside(at), lambda i: F.get(hashes, i))).alias("shingles")))
+
+
+def _cut(hashes: Column, every: list[int], spans: list[int]) -> Column:
+    """All classes' windows around the shingles of a text that some template has."""
+    wanted = F.array(*[F.lit(h) for h in every])
+
+    def around(met: Column) -> Column:  # the text's shingles that templates have: none, as a rule
+        spots = F.filter(F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda i: F.array_contains(met, F.get(hashes, i)))
+        spots = F.when(F.size(met) > 0, spots).otherwise(F.array().cast("array<int>"))
+        return _let(spots, lambda found: F.concat(*[_windows(hashes, found, span) for span in spans]))
+
+    return _let(F.array_intersect(hashes, wanted), around)
+
+
 def license_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, license, containment, first_word (where its first window starts), windows of each license in a text."""
     spark = docs.sparkSession
-    sized = {name: len(_words(text)) for name, text in templates.items()}
-    by_class = {L: [n for n, k in sized.items() if k <= L and not any(k <= M < L for M in CLASSES)] for L in CLASSES}
-    if max(sized.values()) > CLASSES[-1]:
-        raise ValueError(f"a template has more than {CLASSES[-1]} words")
-    used = [L for L in CLASSES if by_class[L]]
-    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(L).alias("span"), F.split(F.lit(" ".join(_words(templates[name]))), " ").alias("words")) for L in used for name in by_class[L]])
-    known = spark.range(1).select(F.explode(listed).alias("t")).select("t.license", "t.span", _shingle_hashes(F.col("t.words")).alias("wanted"))
+    worded = {name: text for name, text in templates.items() if _words(text)}
+    if not worded:
+        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, license string, containment double, first_word long, windows long")
+    spans = sorted({span_of(text) for text in worded.values()})
+    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(span_of(text)).alias("span"), F.split(F.lit(" ".join(_words(text))), " ").alias("words")) for name, text in worded.items()])
+    known = spark.range(1).select(F.explode(listed).alias("t")).select("t.license", "t.span", F.array_distinct(_let(F.col("t.words"), _shingle_hashes)).alias("wanted"))
     keyed = known.select("license", "span", "wanted", F.explode(_signature(F.col("wanted"))).alias("band"))
+    every = sorted({h for (h,) in known.select(F.explode("wanted")).distinct().collect()})
 
-    cut = docs.select("doc_id", "text").where(_has_any(F.col("text"), telling_words(templates))).select("doc_id", _text_words(F.col("text")).alias("words"))
-    spans = F.array(*[F.lit(L) for L in used])
-    placed = cut.select("doc_id", "words", F.explode(spans).alias("span")).select("doc_id", "words", "span", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.col("span"))).alias("first_word"))
-    windows = placed.select("doc_id", "span", "first_word", _shingle_hashes(F.slice("words", F.col("first_word") + 1, 2 * F.col("span"))).alias("shingles"))
-    # A window without a shingle of a template shares no MinHash value with one.
-    every = F.array(*[F.lit(h) for (h,) in sorted(known.select(F.explode("wanted")).distinct().collect())])
-    windows = windows.where(F.arrays_overlap("shingles", every))
+    told = docs.select("doc_id", "text").where(_has_any(F.col("text"), telling_words(worded)))
+    cut = told.select("doc_id", F.explode(_let(_let(_text_words(F.col("text")), _shingle_hashes), lambda h: _cut(h, every, spans))).alias("w"))
+    windows = cut.select("doc_id", "w.span", "w.first_word", "w.shingles")
     met = windows.withColumn("band", F.explode(_signature(F.col("shingles")))).join(F.broadcast(keyed), ["span", "band"])  # BANDS rows a template
     share = F.size(F.array_intersect("shingles", "wanted")) / F.size("wanted")
     matched = met.select("doc_id", "license", "first_word", share.alias("containment")).where(F.col("containment") >= CONTAINMENT)

@@ -32,8 +32,7 @@ sha256(unhex(case when kept.doc_id is null then h else head || substr(h, 2 * las
 def op7() -> str:
     rows = []
     for name, wording in licences.TEMPLATES.items():
-        words = licences._words(wording)
-        span = next(L for L in licences.CLASSES if len(words) <= L)
+        words, span = licences._words(wording), licences.span_of(wording)
         shingles = ", ".join("'" + " ".join(s) + "'" for s in licences._shingles(words))
         rows.append(f"('{name}', {span}, [{shingles}])")
     return rf"""with t(license, span, wanted) as (values {", ".join(rows)}),
