@@ -8,9 +8,29 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (tests) a temporary folder, which is then set."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder if all run on this machine (tests), which is then
+    set. On a cluster such a folder would be another one for each executor, so there it is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", found)
+        delete_at_exit(spark, found)
     return found.rstrip("/")
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, system = _at(spark, path)
+    system.delete(where, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes the folder when the driver's file systems close, as it ends."""
+    where, system = _at(spark, path)
+    system.deleteOnExit(where)
