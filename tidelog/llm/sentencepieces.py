@@ -5,6 +5,11 @@ normalised character keeps the byte offset of the source that it came from, so e
 original bytes. Pieces come from byte-pair merges in order of score; characters outside the vocabulary fall back to
 byte pieces, whose spans are those of the whole character.
 
+Whole slices of texts are encoded at once. Their distinct segments (words, as a rule) are rows of numbers, one for
+each symbol; each round merges the best pair of every row, and whatever symbols come out tile the slice, so positions,
+and through the alignment source bytes, are sums of their lengths. Segments of over WIDEST characters are merged one
+by one, with a heap.
+
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text. Repeated rows
 and null ids are encoded row by row. Very long texts are encoded whole (merges in a run without spaces are
 O(n log n)).
@@ -16,17 +21,20 @@ import hashlib
 import heapq
 import re
 import struct
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelog.llm import kernels
 from tidelog.llm.common import map_slices, table
 
 SPACE = "▁"
-#: Cached segments of a Python worker; beyond this the cache starts anew.
-CACHE_ENTRIES = 300_000
+#: Characters of the segments that are merged in rows.
+WIDEST = 64
+#: Text of a slice that is encoded at once.
+SLICE = 2 << 20
+_NEVER = np.int32(2**31 - 1)
 
 
 class CharMap:
@@ -83,17 +91,21 @@ class PieceModel:
         self.score = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if kinds[i] == kind.BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.low = {kinds.index(kind.UNKNOWN), *self.byte_of}
-        self.names = [str(i) for i in range(len(self.pieces))]
-        self.silent = {i for i, k in enumerate(kinds) if k == kind.CONTROL}
-        self.unk = kinds.index(kind.UNKNOWN)
         self.fallback = proto.trainer_spec.byte_fallback
         self.unk_surface = proto.trainer_spec.unk_surface
+        self.silent = {i for i, k in enumerate(kinds) if k == kind.CONTROL}
+        self.unk = kinds.index(kind.UNKNOWN)
+        self.names = [str(i) for i in range(len(self.pieces))]
+        # What ids spell by themselves: bytes below 128 are characters, whatever bytes are beside them.
+        self.surface = [p.replace(SPACE, " ") for p in self.pieces]
+        for b, i in self.bytes.items():
+            self.surface[i] = chr(b) if b < 128 else ""
+        self.low = {self.unk, *[i for b, i in self.bytes.items() if b > 127]} | self.silent
+        self._tabulate()
         # No piece continues across the start of a run of spaces: such places cut the text into independent segments.
         self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.plain = not self.map.units and self.dummy and not self.squeeze and self.escape
-        self.cache: dict[str, tuple[int, str, str, int, bytes, bytes]] = {}
 
     # -- normalisation
 
@@ -241,44 +253,160 @@ class PieceModel:
             first = False
         return "".join(out)
 
-    def _coded(self, segment: str) -> tuple[int, str, str, int, bytes, bytes]:
-        """Of a segment: the number of ids, the ids joined by commas, what they spell, its characters, and the first
-        character and the end of each id's piece."""
-        ids, begins, ends, at = [], [], [], 0
-        for piece in self.merge(segment):
-            own = self._ids(piece)
-            ids += own
-            begins += [at] * len(own)
-            at += len(piece)
-            ends += [at] * len(own)
-        # Without byte pieces the pieces of a segment spell the segment itself.
-        spelt = segment.replace(SPACE, " ") if self.low.isdisjoint(ids) else self.decode([self.unk, *ids])[len(self.unk_surface) :]
-        return len(ids), ",".join([self.names[i] for i in ids]), spelt, at, array("i", begins).tobytes(), array("i", ends).tobytes()
+    # -- whole slices
+
+    def _tabulate(self) -> None:
+        """Symbols are the pieces by id, then other characters of pieces, then one for all other characters; pairs of
+        symbols that make a piece, with its id and its place in the order of merges."""
+        more = sorted({c for p in self.ids for c in p} - set(self.ids))
+        symbols = self.ids | {c: len(self.pieces) + k for k, c in enumerate(more)}
+        self.symbols, self.other = symbols, len(self.pieces) + len(more)
+        self.size = np.ones(self.other + 1, np.int32)
+        for p, i in self.ids.items():
+            self.size[i] = len(p)
+        self.symbol_of = np.full(0x110000, self.other, np.int32)
+        for p, i in symbols.items():
+            if len(p) == 1:
+                self.symbol_of[ord(p)] = i
+        place = {score: k for k, score in enumerate(sorted({self.score[p] for p in self.ids}, reverse=True))}
+        pairs = [(symbols[p[:k]] * (self.other + 1) + symbols[p[k:]], place[self.score[p]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
+        pairs.sort()
+        self.pair_keys = np.array([x[0] for x in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.pair_place = np.array([x[1] for x in pairs] + [_NEVER], np.int32)
+        self.pair_made = np.array([x[2] for x in pairs] + [0], np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The index of each pair; the last one for those that make no piece."""
+        keys = left.astype(np.int64) * (self.other + 1) + right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, at, len(self.pair_keys) - 1).astype(np.int32)
+
+    def _merged_rows(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges rows of symbols, of which the first `lengths` count; the best pair first, the leftmost of equals."""
+        n, width = rows.shape
+        out, count = rows.copy(), lengths.copy()
+        none = len(self.pair_keys) - 1
+        made = np.full((n, width), none, np.int32)
+        inside = np.arange(1, width) < lengths[:, None]
+        left, right = rows[:, :-1][inside], rows[:, 1:][inside]
+        made[:, :-1][inside] = self._pairs(left, right)
+        live = np.arange(n)
+        rows, lengths = rows.copy(), lengths.copy()
+        columns = np.arange(width - 1)
+        while len(live):
+            where = self.pair_place[made].argmin(axis=1)
+            each = np.arange(len(live))
+            best = made[each, where]
+            going = best != none
+            if not going.all():
+                done = live[~going]
+                out[done], count[done] = rows[~going], lengths[~going]
+                live, rows, made, lengths, where, best = live[going], rows[going], made[going], lengths[going], where[going], best[going]
+                each = np.arange(len(live))
+                if not len(live):
+                    break
+            rows[each, where] = self.pair_made[best]
+            # What lies behind the pair moves up by one.
+            later = columns > where[:, None]
+            rows[:, :-1] = np.where(later, rows[:, 1:], rows[:, :-1])
+            made[:, :-1] = np.where(later, made[:, 1:], made[:, :-1])
+            made[:, -1] = none
+            lengths -= 1
+            after = where + 1 < lengths
+            made[each, where] = none
+            made[each[after], where[after]] = self._pairs(rows[each[after], where[after]], rows[each[after], where[after] + 1])
+            before = where > 0
+            made[each[before], where[before] - 1] = self._pairs(rows[each[before], where[before] - 1], rows[each[before], where[before]])
+        return out, count
+
+    def _merged(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of segments, one after the other, and the number of each one's."""
+        counts = np.zeros(len(starts), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        low = 0
+        for width in (4, 8, 12, 16, 24, 32, WIDEST):
+            of = np.flatnonzero((lengths > low) & (lengths <= width))
+            low = width
+            for k in range(0, len(of), 1 << 14):
+                these = of[k : k + (1 << 14)]
+                at = np.minimum(starts[these][:, None] + np.arange(width), len(code) - 1)
+                rows, counts[these] = self._merged_rows(self.symbol_of[code[at]], lengths[these])
+                parts.append((these, rows, counts[these]))
+        long = np.flatnonzero(lengths > WIDEST)
+        found = {}
+        for i in long.tolist():
+            text = code[starts[i] : starts[i] + lengths[i]].astype("<u4").tobytes().decode("utf-32-le")
+            found[i] = np.array([self.symbols.get(p, self.other) for p in self.merge(text)], np.int32)
+            counts[i] = len(found[i])
+        begins = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        for these, rows, held in parts:
+            inside = np.arange(rows.shape[1]) < held[:, None]
+            out[(begins[these][:, None] + np.arange(rows.shape[1]))[inside]] = rows[inside]
+        for i, symbols in found.items():
+            out[begins[i] : begins[i] + len(symbols)] = symbols
+        return out, counts
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, np.ndarray]]:
         """For each text the number of ids, the ids joined by commas, the decoded text, and the spans of the ids: rows
-        of (first source byte, end of source bytes), as encode_spans gives them. Segments' pieces are cached.
-        """
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        get, out = self.cache.get, []
-        for text in texts:
-            normal, align = self.normalise(text)
-            found = []
-            for s in self.segments(normal):
-                x = get(s)
-                if x is None:
-                    x = self.cache[s] = self._coded(s)
-                found.append(x)
-            counts, sizes = np.array([x[0] for x in found], np.int64), np.array([x[3] for x in found], np.int64)
-            base = np.repeat(np.cumsum(sizes) - sizes, counts)
-            spans = np.stack([align[np.frombuffer(b"".join([x[k] for x in found]), np.int32) + base] for k in (4, 5)], axis=1)
-            decoded = "".join([x[2] for x in found])
-            if (self.dummy or self.squeeze) and decoded.startswith(" "):
-                decoded = decoded.lstrip(" ") if self.squeeze else decoded[1:]
-            out.append((int(counts.sum()), ",".join([x[1] for x in found]), decoded, spans))
+        of (first source byte, end of source bytes), as encode_spans gives them."""
+        normals, aligns = zip(*[self.normalise(t) for t in texts], strict=True) if texts else ((), ())
+        sizes = np.array([len(x) for x in normals], np.int64)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        code = np.frombuffer("".join(normals).encode("utf-32-le"), "<u4")
+        if not len(code):
+            return [(0, "", "", np.zeros((0, 2), np.int64)) for _ in texts]
+        first = np.zeros(len(code), bool)
+        if self.cuttable:
+            space = code == ord(SPACE)
+            first[1:] = space[1:] & ~space[:-1]
+        first[edges[:-1][sizes > 0]] = True
+        starts = np.flatnonzero(first)
+        lengths = np.diff(np.append(starts, len(code)))
+        chosen, which = self._distinct(code, starts, lengths)
+        symbols, counts = self._merged(code, starts[chosen], lengths[chosen])
+        begins = np.cumsum(counts) - counts
+        times = counts[which]
+        symbols = symbols[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - begins[which], times)]
+        size = self.size[symbols].astype(np.int64)
+        end = np.cumsum(size)
+        begin = end - size
+        owner = np.searchsorted(edges, begin, side="right") - 1
+        align = np.concatenate(aligns)
+        spans = np.stack([align[begin + owner], align[end + owner]], axis=1)  # each alignment has an end of its own
+        ids = symbols
+        strange = np.flatnonzero(symbols >= len(self.pieces))
+        if len(strange):  # characters that are no pieces: their bytes, or the unknown piece
+            own = [self._ids(chr(c)) for c in code[begin[strange]].tolist()]
+            repeat = np.ones(len(ids), np.int64)
+            repeat[strange] = [len(x) for x in own]
+            at = np.repeat(np.arange(len(ids)), repeat)
+            ids, owner, spans = ids[at], owner[at], spans[at]
+            ids[np.flatnonzero(symbols[at] >= len(self.pieces))] = [i for x in own for i in x]
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        names, surface, low = self.names, self.surface, np.isin(ids, list(self.low))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = ids[a:b].tolist()
+            if low[a:b].any():
+                decoded = self.decode(mine)
+            else:
+                decoded = "".join([surface[i] for i in mine])
+                if (self.dummy or self.squeeze) and decoded.startswith(" "):
+                    decoded = decoded.lstrip(" ") if self.squeeze else decoded[1:]
+            out.append((b - a, ",".join([names[i] for i in mine]), decoded, spans[a:b]))
         return out
 
+    def _distinct(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segments with distinct texts, the one that each segment equals)."""
+        within = np.arange(len(code)) - np.repeat(starts, lengths)
+        h = kernels.mix(np.add.reduceat((code.astype(np.uint64) + np.uint64(1)) * kernels.powers(int(lengths.max()))[within], starts) + lengths.astype(np.uint64))
+        _, chosen, which = np.unique(h, return_index=True, return_inverse=True)
+        other = np.repeat(starts[chosen[which]], lengths) + within
+        if (lengths[chosen[which]] != lengths).any() or (code[np.minimum(other, len(code) - 1)] != code).any():
+            return np.arange(len(starts)), np.arange(len(starts))  # two texts of one hash
+        return chosen, which
+
     def digest(self, text: str) -> tuple[int, str, str, np.ndarray]:
         return self.digests([text])[0]
 
@@ -346,7 +474,7 @@ def piece_digests(docs: DataFrame, path: str) -> DataFrame:
             projected.append(hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(projected, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return map_slices(docs.select("doc_id", "text"), "text", run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", 4 << 20)
+    return map_slices(docs.select("doc_id", "text"), "text", run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", SLICE)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
