@@ -94,17 +94,163 @@ def test_put_all_and_multi_get(spark, tmp_path):
     assert store.as_of(4).select(F.decode("value", "utf-8")).first()[0] == "four"
 
 
-def test_staged_puts_and_poll(spark, tmp_path):
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "key long, seq long, op string, value string")
+
+
+def test_staged_puts_count_once_and_in_their_epoch(spark, tmp_path):
     store = make(spark, tmp_path, checkpoint_bytes=4096)
-    slot = store.stage(spark.createDataFrame([(1, 3, "PUT", "x")], "key long, seq long, op string, value string"))
+    slot, epoch = store.stage(rows_of(spark, [(1, 3, "PUT", "x"), (9, 4, "DEL", None)]))
     assert store.get(1)[0] == Status.NOT_FOUND
-    assert store.commit_slot(slot) == Status.OK and store.get(1)[2] == b"x"
-    assert store.commit_slot(slot) == Status.INVALID
+    assert store.commit_slot(slot, epoch + 1) == Status.INVALID
+    assert store.commit_slot(slot, epoch) == Status.OK and store.get(1)[2] == b"x"
+    assert store.commit_slot(slot, epoch) == Status.INVALID
+    assert store.stats()["entry_count"] == 1  # the delete of a key that never was wrote nothing
     assert store.meta["snapshot"] is None and store.poll() == Status.OK and store.meta["snapshot"]["seq"] == 3
-    assert store.get(1)[2] == b"x"
+    late, epoch = store.stage(rows_of(spark, [(2, 5, "PUT", "y")]))
+    # A crash behind the commit's manifest leaves the slot's folder, but not the slot.
+    again = KvStore(spark, f"file://{tmp_path}/kv")
+    assert again.open() == Status.OK
+    assert again.commit_slot(slot, epoch) == again.commit_slot(late, epoch) == Status.INVALID
+    assert again.get(1)[2] == b"x" and late in again.vacuum()
+
+
+def test_counters_survive_checkpoint_compaction_and_reopening(spark, tmp_path):
+    store = make(spark, tmp_path, data_file_size=3 * 4096, flush_entries=2)
+    want = lambda data, garbage, keys: (data, garbage, keys, garbage * 100 // data)
+    seen = lambda s: tuple(s.stats()[k] for k in ("total_data_bytes", "total_garbage_bytes", "entry_count", "garbage_ratio"))
+    for k in (1, 2, 1, 3, 2):
+        store.put(k, b"v" * 5000 if k == 2 else b"v")
+    store.delete(3)
+    page = 4096
+    first = want(8 * page, (1 + 2 + 1) * page, 3)
+    assert seen(store) == first
+    assert store.checkpoint() == Status.OK and seen(store) == first
+    store.put(3, b"again")  # of a deleted key: no garbage
+    store.put(1, b"more")
+    second = want(10 * page, 5 * page, 3)
+    assert seen(store) == second
+    store.put(4, b"new")
+    store.put(4, b"newer")
+    third = want(12 * page, 6 * page, 4)
+    assert seen(store) == third
+    store.compact([f["file_id"] for f in store.meta["files"]])
+    assert seen(store) == third
+    store.delete(2)
+    fourth = want(13 * page, 8 * page, 4)
+    assert seen(store) == fourth
+    store.close()
+    again = KvStore(spark, f"file://{tmp_path}/kv")
+    again.open()
+    assert seen(again) == fourth
+    again.checkpoint()
+    assert seen(again) == fourth and {r.key for r in again.scan().collect()} == {1, 3, 4}
+
+
+def test_vacuum_spares_the_manifest_before(spark, tmp_path):
+    store = make(spark, tmp_path)
+    for round_ in range(3):
+        for k in range(5):
+            store.put(k, f"{round_}{k}".encode())
+        store.checkpoint()
+    store.vacuum()
+    newest = [n for n in store.folder.names("manifest") if n.endswith(".json")][-1]
+    store.folder.write(f"manifest/{newest}", b"damaged")
+    again = KvStore(spark, f"file://{tmp_path}/kv")
+    assert again.open() == Status.OK
+    assert {r.key: bytes(r.value) for r in again.scan().collect()} == {k: f"2{k}".encode() for k in range(5)}
+
+
+def test_a_checkpoint_writes_changed_segments_only(spark, tmp_path):
+    store = make(spark, tmp_path)
+    store.put_all(rows_of(spark, [(k, k + 1, "PUT", f"v{k}") for k in range(200)]))
+    store.checkpoint()
+    before = dict(store.meta["snapshot"]["segments"])
+    store.put(7, b"changed")
+    store.flush()
+    assert len(store.meta["dirty"]) == 1
+    store.checkpoint()
+    after = store.meta["snapshot"]["segments"]
+    assert [s for s in after if after[s] != before.get(s)] == [s for s, d in after.items() if d not in before.values()] and sum(after[s] != before[s] for s in after) == 1
+    assert store.get(7)[2] == b"changed" and store.scan().count() == 200
+
+
+def test_compaction_has_a_destination_for_each_source(spark, tmp_path):
+    store = make(spark, tmp_path, data_file_size=4 * 4096)
+    for r in range(4):
+        store.put_all(rows_of(spark, [(k, 10 * r + k + 1, "PUT", f"{r}" * 5000) for k in (r, 5)]))
+    sealed = sorted({f["file_id"] for f in store.meta["files"]} - {store.meta["active"]})
+    assert len(sealed) == 4
+    assert store.compact(sealed[:2]) == Status.OK
+    files = {f["file_id"]: f["bytes"] for f in store.meta["files"]}
+    assert not set(sealed[:2]) & set(files) and sorted(files.values()) == [2 * 4096] * 2 + [4 * 4096] * 2
+    assert {r.key for r in store.scan().collect()} == {0, 1, 2, 3, 5}
+    heads = store.headers().collect()
+    assert all(h.whole for h in heads) and {h.file_id for h in heads if h.sealed} >= set(files) - {store.meta["active"]}
 
 
-def test_journal_prefix():
-    assert M.valid_journal([(1, True), (2, True), (4, False), (5, True)]) == [1, 2]
-    assert M.valid_journal([(3, True), (2, True)]) == [3]
-    assert M.valid_journal([]) == []
+def test_recovery_stops_a_folder_at_a_bad_checksum(spark, tmp_path):
+    store = make(spark, tmp_path, flush_entries=10)
+    for k in range(30):
+        store.put(k, f"v{k}".encode())
+    folder = store.meta["files"][1]["dir"]
+    path = f"{tmp_path}/kv/{folder}"
+    rows = spark.read.parquet(f"file://{path}").collect()
+    bad = [(r.key, r.seq, r.op, bytes(r.value), r.value_len, r.file_id, r.crc + (r.key == 14), 0 if r.key == 11 else r.magic) for r in rows]
+    from tidelog.plans.store import ROW
+
+    spark.createDataFrame(bad, ROW).coalesce(1).write.mode("overwrite").parquet(f"file://{path}")
+    again = KvStore(spark, f"file://{tmp_path}/kv")
+    assert again.open() == Status.OK
+    # 11 has no magic and is passed over; nothing from 14 on is trusted in that folder.
+    assert sorted(r.key for r in again.scan().collect()) == [k for k in range(30) if k != 11 and not 14 <= k < 20]
+    assert again.compact([again.meta["files"][1]["file_id"]]) == Status.NOT_FOUND  # it is active
+    again.checkpoint()
+    assert again.verify().isEmpty() and again.get(13)[2] == b"v13" and again.get(14)[0] == Status.NOT_FOUND
+
+
+def test_asynchronous_verbs_are_answered_by_poll(spark, tmp_path):
+    store = make(spark, tmp_path, queue_size=9, flush_entries=4)
+    store.put(1, b"one")
+    got = []
+    note = lambda name: lambda *result: got.append((name, *result))
+    assert store.put_async(2, b"two", note("put")) == store.get_async(1, note("get"), 2) == store.get_async(2, note("get")) == Status.OK
+    assert store.delete_async(1, note("del")) == store.delete_async(1, note("del")) == store.get_async(1, note("get")) == Status.OK
+    assert store.put_async(3, [b"a" * 4096, b"b"], note("put")) == Status.OK and store.put_async(3, [b"a"]) == store.put_async(3, b"") == Status.INVALID
+    assert store.pending() == 7 and store.get_async(9, note("get"), 0) == Status.INVALID
+    assert store.delete_async(8, note("del")) == store.delete_async(9) == Status.OK and store.delete_async(9) == Status.BUSY
+    assert store.poll() == Status.OK and store.pending() == 0
+    assert got == [("put", 0), ("get", -6, 3, None), ("get", 0, 3, b"two"), ("del", 0), ("del", -1), ("get", -1, None, None), ("put", 0), ("del", -1)]
+    store.get_async(2, note("late"))
+    store.close()
+    assert got[-1] == ("late", Status.NOT_READY, None, None) and store.put_async(1, b"x") == Status.NOT_READY
+
+
+def test_poll_compacts_scheduled_files_as_far_as_load_allows(spark, tmp_path):
+    store = make(spark, tmp_path, data_file_size=2 * 4096)
+    for r in range(3):
+        store.put_all(rows_of(spark, [(k, 10 * r + k + 1, "PUT", "x") for k in range(3)]))
+    first, second, _ = sorted({f["file_id"] for f in store.meta["files"]})
+    store.schedule([first, second, first])
+    there = lambda: {f["file_id"] for f in store.meta["files"]}
+    store.poll(1000)
+    store.poll(500)  # still paused
+    assert list(store.scheduled) == [first, second] and store.paused
+    store.poll(100)
+    assert first in there() and not store.paused
+    store.poll(100)
+    assert first not in there() and second in there()
+    store.poll(0)
+    assert second not in there() and not store.scheduled
+    assert store.scan().count() == 3
+
+
+def test_states(spark, tmp_path):
+    from tidelog.plans.store import State
+
+    store = KvStore(spark, f"file://{tmp_path}/kv")
+    assert store.state is State.UNINITIALIZED and store.open() == Status.CORRUPT and store.state is State.ERROR
+    assert store.create() == Status.OK and store.state is State.READY and store.open() == Status.EXISTS
+    assert store.close() == Status.OK and store.state is State.CLOSED and store.close() == store.poll() == store.flush() == store.checkpoint() == store.compact() == store.schedule([1]) == Status.NOT_READY
+    assert store.put_vectored(1, [b"a" * 4096]) == Status.NOT_READY and store.open() == Status.OK
+    assert store.put_vectored(1, [b"a" * 4096]) == store.put_buffered(2, b"b") == Status.OK and store.get(1)[1] == 4096

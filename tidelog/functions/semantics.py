@@ -15,6 +15,8 @@ MAX_VALUE = 256 << 20
 MAX_PAGES = 65535
 MAX_FILES = 1024
 MAX_OFFSET = (1 << 21) - 1
+#: Segments of a scattered value.
+MAX_SEGMENTS = 16
 #: Marks an entry: "TLOG".
 MAGIC = 0x544C4F47
 
@@ -28,6 +30,7 @@ class Status(IntEnum):
     CORRUPT = -5
     INVALID = -6
     NOT_READY = -7
+    BUSY = -9
     EXISTS = -10
 
 
@@ -50,9 +53,14 @@ def put_status(length: Column, cap: int = MAX_VALUE) -> Column:
     return F.when(length == 0, int(Status.INVALID)).when((length > cap) | (page_count(length) > MAX_PAGES), int(Status.TOO_SMALL)).otherwise(int(Status.OK))
 
 
-def segmented_put_status(segments: Column) -> Column:
-    """A scattered put needs a segment, and a first one of a page at least."""
-    return F.when((F.size(segments) < 1) | (F.octet_length(segments[0]) < PAGE), int(Status.INVALID)).otherwise(int(Status.OK))
+def segmented_put_status(segments: Column, first_length: Column) -> Column:
+    """A scattered put needs 1 to 16 segments, and a first one of a page at least."""
+    return F.when(~segments.between(1, MAX_SEGMENTS) | (first_length < PAGE), int(Status.INVALID)).otherwise(int(Status.OK))
+
+
+def segmented_pages(total_length: Column) -> Column:
+    """Pages of a scattered value, whose header lies inside its first page."""
+    return F.floor(total_length / PAGE).cast("long")
 
 
 def is_newer(a: Column, b: Column) -> Column:
@@ -134,3 +142,13 @@ def throttle(pending: Column) -> Column:
 def checkpoint_due(seconds: Column, written: Column, dirty_segments: Column) -> Column:
     """Whether a checkpoint should begin: after 300 seconds, 10 GiB of log, or eight changed segments."""
     return (seconds >= 300) | (written >= 10 << 30) | (dirty_segments >= 8)
+
+
+def flush_due(buffers: Column, entries: Column, milliseconds: Column) -> Column:
+    """Whether pending writes are flushed: 16 buffers, 128 entries, or 10 ms since the first."""
+    return (buffers >= 16) | (entries >= 128) | (milliseconds >= 10)
+
+
+def back_pressure(buffers: Column, was_on: Column) -> Column:
+    """Whether writers wait: from 12 pending buffers on, until there are 6."""
+    return F.when(buffers >= 12, True).when(buffers <= 6, False).otherwise(was_on)

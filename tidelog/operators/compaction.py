@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.layout import file_stats, live_locations
-from tidelog.operators.ordered import with_position
 
 THRESHOLD = 0.3
 
@@ -17,12 +16,19 @@ def candidates(located: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def migrate(located: DataFrame, files: DataFrame) -> DataFrame:
-    """The live entries of the files (file_id), with the position that each gets, in order of old location. Stale
-    versions and tombstones stay behind; sequences are kept."""
+    """The live entries of the files (file_id), with the offset that each gets in its destination, in order of old
+    location. Each source file has a destination of its own, so none overflows; entries follow each other there from
+    page 1 on, as many pages apart as they have. Stale versions and tombstones stay behind; sequences are kept."""
     moving = live_locations(located).join(files.select("file_id").distinct(), "file_id", "left_semi")
-    # A file has fewer than 2**21 pages, so this orders by file and then by offset.
-    placed = with_position(moving.withColumn("_at", F.col("file_id") * (1 << 21) + F.col("offset_index")), "_at", "_position")
-    return placed.select("key", "seq", "file_id", "offset_index", "page_count", (F.col("_position") + 1).alias("new_offset"))
+    # A file's entries are 2**21 at most, and only their numbers are in the window.
+    before = Window.partitionBy("file_id").orderBy("offset_index").rowsBetween(Window.unboundedPreceding, -1)
+    return moving.select("key", "seq", "file_id", "offset_index", "page_count", (F.coalesce(F.sum("page_count").over(before), F.lit(0)) + 1).cast("long").alias("new_offset"))
+
+
+def destinations(files: DataFrame, first: int) -> DataFrame:
+    """files (file_id) with new_file_id: one for each source, from `first` on, in order of source."""
+    order = Window.partitionBy(F.lit(0)).orderBy("file_id")  # a row a file: 1024 at most
+    return files.select("file_id").distinct().select("file_id", (F.row_number().over(order) + (first - 1)).cast("long").alias("new_file_id"))
 
 
 def relocate(index: DataFrame, moved: DataFrame) -> DataFrame:

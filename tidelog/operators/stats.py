@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.semantics import PAGE, capacity_for
+from tidelog.functions.semantics import PAGE, capacity_for, page_count
 from tidelog.operators.ordered import with_previous
 from tidelog.operators.view import effective
 
@@ -26,6 +26,18 @@ def totals(log: DataFrame) -> DataFrame:
     return found.withColumn("garbage_ratio", F.coalesce(ratio, F.lit(0)).cast("long"))
 
 
+def added(log: DataFrame) -> DataFrame:
+    """One row: data and garbage bytes that the rows which aren't `counted` add, and all keys ever put (entries).
+
+    Counted rows only tell what was there before: of each key its newest one at least.
+    """
+    rows = with_previous(log.select("key", "seq", "op", "value_len", "counted"), ["op", "value_len"])
+    wrote = (F.col("op") == "PUT") | (F.col("prev_op") == "PUT")
+    replaced = F.when(F.col("prev_op") == "PUT", page_count(F.col("prev_value_len")) * PAGE)
+    sums = lambda c: F.coalesce(F.sum(F.when(wrote & ~F.col("counted"), c)), F.lit(0)).cast("long")
+    return rows.agg(sums(page_count(F.col("value_len")) * PAGE).alias("data"), sums(replaced).alias("garbage"), F.count_distinct(F.when(wrote | F.col("counted"), F.col("key"))).alias("entries"))
+
+
 def load_factor(log: DataFrame, max_entries: int) -> DataFrame:
     slots = capacity_for(max_entries)
     return log.where(F.col("op") == "PUT").agg(F.count_distinct("key").alias("size")).select("size", F.lit(slots).cast("long").alias("capacity"), (F.col("size") / F.lit(float(slots))).alias("load_factor"))

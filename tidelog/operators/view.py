@@ -63,15 +63,27 @@ def replay(snapshot: DataFrame, tail: DataFrame) -> DataFrame:
     return live(snapshot.unionByName(tail))
 
 
-def journal_prefix(records: DataFrame, group: str = "group_id", order: str = "seq", good: str = "good") -> DataFrame:
-    """Of each group's records those before the first that is damaged; groups are a ring's few slots."""
-    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("_whole", F.min(F.col(good).cast("int")).over(upto)).where("_whole = 1").drop("_whole")
+def journal_prefix(records: DataFrame, group: str = "group_id", order: str = "slot", good: str = "good") -> DataFrame:
+    """Of each group's records those before the first that is damaged, or whose seq isn't greater than the one before;
+    groups are a ring's few slots."""
+    within = Window.partitionBy(group).orderBy(order)
+    rising = F.coalesce(F.col("seq") > F.lag("seq").over(within), F.lit(True))
+    rows = records.withColumn("_fine", (F.col(good) & rising).cast("int"))
+    return rows.withColumn("_whole", F.min("_fine").over(within.rowsBetween(Window.unboundedPreceding, 0))).where("_whole = 1").drop("_whole", "_fine")
+
+
+def trusted(records: DataFrame, chunk: list[str], order: str = "offset_index") -> DataFrame:
+    """The records of a log's tail that recovery takes: those without the magic (not magic_ok) are passed over, and in
+    each chunk nothing from the first mismatch of the checksum (not crc_ok) on. The first mismatches are aggregated,
+    a row a damaged chunk, and joined."""
+    marked = records.where("magic_ok")
+    damaged = marked.where("not crc_ok").groupBy(*chunk).agg(F.min(order).alias("_stop"))
+    return marked.join(damaged, chunk, "left").where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
 
 
 def locate(located: DataFrame, files: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (key) with the file and offset of their live entries; status -1 where there is none, or where the file
-    can't be read in its state."""
+    (file_id, state) can't be read in its state."""
     alive = latest(located).where(F.col("op") == "PUT").select("key", "file_id", "offset_index")
     usable = alive.join(files.where(F.col("state").isin("ACTIVE", "SEALED", "COMPACTING")).select("file_id"), "file_id", "left_semi")
     found = requests.join(usable, "key", "left")

@@ -59,20 +59,16 @@ def commit(folder: Folder, manifest: dict) -> None:
         folder.delete(f"manifest/{old}")
 
 
-def load(folder: Folder) -> dict | None:
-    """The newest manifest that is whole; None if there is none."""
+def all_whole(folder: Folder) -> list[dict]:
+    """The kept manifests whose checksum holds, the newest first."""
+    out = []
     for name in reversed([n for n in folder.names("manifest") if n.endswith(".json")]):
         mark, _, body = folder.read(f"manifest/{name}").partition(b"\n")
         if mark.isdigit() and int(mark) == zlib.crc32(body):
-            return json.loads(body)
-    return None
+            out.append(json.loads(body))
+    return out
 
 
-def valid_journal(records: list[tuple[int, bool]]) -> list[int]:
-    """Of journal records (sequence, checksum holds) the prefix that counts: up to the first bad or falling one."""
-    out: list[int] = []
-    for seq, good in records:
-        if not good or (out and seq <= out[-1]):
-            break
-        out.append(seq)
-    return out
+def load(folder: Folder) -> dict | None:
+    """The newest manifest that is whole; None if there is none."""
+    return next(iter(all_whole(folder)), None)
