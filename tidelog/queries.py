@@ -391,7 +391,7 @@ base as (select * from (select *, row_number() over (partition by k order by seq
 def kv_replay_trusted(spark, sf_dir):
     """Recovery from a snapshot and a tail with records without the magic, and others whose checksum fails."""
     log = _events(spark, sf_dir)
-    return view.replay(view.as_of(log, SNAPSHOT).select("key", "seq", "op"), _tail(spark, sf_dir).select("key", "seq", "op"))
+    return view.replay(view.as_of(log, SNAPSHOT).select("key", "seq", "op"), _tail(spark, sf_dir).select("key", "seq", "op")).select("key", "seq")
 
 
 @_query(f"with {_TAIL} select greatest({SNAPSHOT}, max(seq)) + 1 as next_seq, count(*) as replayed from good")
