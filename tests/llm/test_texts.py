@@ -133,6 +133,18 @@ def test_packing_is_gapless_and_exact(spark, make_docs):
     assert packing.pack_documents(make_docs([]), WORDS).isEmpty()
 
 
+def test_padding_is_little_in_many_small_tasks(spark, make_docs):
+    """64 tasks of a few thousand tokens each: all that isn't a power of two long is a class of short rests."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 9999, rng.integers(1, 200)))) for i in range(640)]
+    found = packing.pack_documents(make_docs(rows).repartition(64, "doc_id"), WORDS).collect()
+    filled = {}
+    for r in found:
+        filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
+    padding = sum(0 if n & (n - 1) == 0 else packing.CAPACITY - n for n in filled.values())
+    assert max(filled.values()) <= packing.CAPACITY and padding <= 0.005 * sum(filled.values())
+
+
 def test_cuts_fill_classes():
     assert packing.cuts(5000) == [(0, 2048), (2048, 2048), (4096, 512), (4608, 256), (4864, 128), (4992, 8)]
     assert packing.cuts(1) == [(0, 1)]

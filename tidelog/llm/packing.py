@@ -5,7 +5,8 @@ rest below that. Lengths fall into reciprocal-capacity classes: class k holds th
 of its sequences takes k pieces, so the halving pieces fill theirs without padding. Every task fills the sequences of
 its own documents, holding at most k pieces of each class; there is no shuffle. At a task's end the open classes of
 halving pieces are emitted in groups of a power of two pieces (whose total is a power of two, which needs no
-padding), and the open rests together fill shared sequences.
+padding), and the open rests, cut where need be, fill sequences of powers of two as well. So there is no padding but in
+the classes of rests, whose k pieces may fall short of the capacity.
 
 Defined results: a null text is an empty document, of the end id alone; repeated rows and null ids are packed row by
 row; an empty table gives no rows. Sequence ids are unique, not contiguous: partition number above the lower 36 bits.
@@ -98,7 +99,7 @@ def cuts(length: int, capacity: int = CAPACITY, shortest: int = SHORTEST) -> lis
 
 
 class Packer:
-    """Places pieces (any tuple, with its length) into sequences of one task."""
+    """Places pieces (as _piece makes them) into sequences of one task."""
 
     def __init__(self, capacity: int, shortest: int, first_id: int):
         self.capacity, self.shortest, self.next = capacity, shortest, first_id
@@ -131,14 +132,31 @@ class Packer:
                 out += self._emit(held[:group])
                 held = held[group:]
         self.open = {}
-        filled, total = [], 0
-        for length, piece in rests:
-            if total + length > self.capacity:
-                out += self._emit(filled)
-                filled, total = [], 0
-            filled.append((length, piece))
-            total += length
-        return out + (self._emit(filled) if filled else [])
+        total = sum(length for length, _ in rests)
+        rests.reverse()
+        while total:
+            room = size = min(self.capacity, 1 << (total.bit_length() - 1))
+            filled = []
+            while room:
+                length, piece = rests.pop()
+                if length > room:
+                    piece, other = _cut(piece, room)
+                    rests.append((length - room, other))
+                    length = room
+                filled.append((length, piece))
+                room -= length
+            out += self._emit(filled)
+            total -= size
+        return out
+
+
+def _piece(doc_id: int | None, start: int, ids: bytes, doc_tokens: int) -> tuple:
+    return doc_id, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, ids
+
+
+def _cut(piece: tuple, at: int) -> tuple[tuple, tuple]:
+    doc_id, start, _, _, doc_tokens, ids = piece
+    return _piece(doc_id, start, ids[: 4 * at], doc_tokens), _piece(doc_id, start + at, ids[4 * at :], doc_tokens)
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -170,8 +188,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, shortes
                 ids += end
                 n = len(ids) // 4
                 for start, length in cuts(n, capacity, shortest):
-                    part = ids[4 * start : 4 * (start + length)]
-                    placed += packer.add(length, (doc_id, start, length, zlib.crc32(part), n, part if with_ids else None))
+                    placed += packer.add(length, _piece(doc_id, start, ids[4 * start : 4 * (start + length)], n))
             if placed:
                 yield rows(placed)
         if placed := packer.close():
