@@ -28,8 +28,6 @@ TREES = 24
 DEPTH = 3
 BINS = 12
 RATE = 0.3
-#: Suffixes with a hundredth of the labelled rows have statistics of their own: a hundred at most.
-LEAST_SHARE = 0.01
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -158,7 +156,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
         only = F.lit("block" if n and blocked == n else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("action", only).alias("verdict"), F.lit(float(bool(n and blocked == n))).alias("block_score"))
     prior = blocked / n
-    suffixes = per_suffix.where(F.col("n") >= LEAST_SHARE * n).collect()
+    suffixes = per_suffix.collect()  # a rule's host has one, so there are as many as rules at most
     rate = F.lit(prior)
     for s in sorted(suffixes, key=lambda s: s.suffix):
         rate = F.when(_suffix(F.col("host")) == s.suffix, F.lit((s.blocked + 10 * prior) / (s.n + 10))).otherwise(rate)
