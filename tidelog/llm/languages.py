@@ -112,7 +112,12 @@ class LanguageModel:
         return best, p[np.arange(len(best)), best]
 
 
-has_letter = re.compile(r"[^\W\d_]").search
+_maybe_letter = re.compile(r"[^\W\d_]").finditer
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; the pattern also finds digits of other kinds."""
+    return any(m.group().isalpha() for m in _maybe_letter(text))
 
 
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
@@ -156,15 +161,15 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), "text", run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def with_language(docs: DataFrame, model: LanguageModel | None, name: str = "_lang", score: str = "_score") -> DataFrame:
-    """All columns of docs, the predicted language and its probability."""
+def with_language(docs: DataFrame, model: LanguageModel | None, name: str = "_lang", ambiguous: str = "_ambiguous") -> DataFrame:
+    """All columns of docs, the predicted language and whether it is ambiguous (und always is), under new names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
         names, scores = _judged(held.value, batch.column("text"))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, name, score])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array([s < AMBIGUOUS for s in scores], pa.bool_())], [*batch.schema.names, name, ambiguous])
 
-    return map_slices(docs, "text", run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return map_slices(docs, "text", run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(ambiguous, T.BooleanType())]))
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Words (runs of ASCII letters, digits and longer characters, lower-cased) hash into an embedding table, each as the sum
 of the embeddings of the word, of its first four bytes and of its first five, so that inflected forms share. Filters one,
 two and three words wide slide over a whole text; the largest value of each filter goes through a rectifier into a
-logistic output. Embeddings start from seeded noise; only rows met in training change, so a model is those rows and
-a few small matrices. Thresholds are calibrated by language, the one that the language model of this package
+logistic output. Embeddings start from seeded noise; a model is the rows that training met, which are all that count,
+and a few small matrices. Thresholds are calibrated by language, the one that the language model of this package
 predicts from the text, and shift the logit so that a score of 0.5 is the threshold.
 
 Fitted on a bounded sample: at most 2 * PER_CLASS texts of each label (a parameter), of which a fifth calibrates.
@@ -38,17 +38,12 @@ EPOCHS = 6
 LEAST_CALIBRATION = 60
 _PAD = max(SPANS) - 1
 
-_noise: np.ndarray | None = None
-
-
 def start_table() -> np.ndarray:
-    """The embeddings before training, the same in every process; the last row is padding, of zeros."""
-    global _noise
-    if _noise is None:
-        rng = np.random.default_rng(11)
-        _noise = (rng.standard_normal(((1 << BUCKETS_BITS) + 1, WIDTH), dtype=np.float32)) * np.float32(0.02)
-        _noise[-1] = 0
-    return _noise
+    """The embeddings before training; the last row is padding, of zeros."""
+    rng = np.random.default_rng(11)
+    noise = rng.standard_normal(((1 << BUCKETS_BITS) + 1, WIDTH), dtype=np.float32) * np.float32(0.02)
+    noise[-1] = 0
+    return noise
 
 
 def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,20 +76,22 @@ class ToxicityModel:
     def __init__(self, rows: np.ndarray, values: np.ndarray, filters: list[np.ndarray], bias: np.ndarray, out: np.ndarray, shift: float, thresholds: dict[str, float], languages: LanguageModel | None):
         self.rows, self.values, self.filters, self.bias, self.out, self.shift = rows, values, filters, bias, out, shift
         self.thresholds, self.languages = thresholds, languages
-        self._table = None
+        self._places = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_table": None}
+        return self.__dict__ | {"_places": None}
 
-    def table(self) -> np.ndarray:
-        if self._table is None:
-            self._table = start_table().copy()
-            self._table[self.rows] = self.values
-        return self._table
+    def embedded(self, at: np.ndarray) -> np.ndarray:
+        """The embeddings of rows of ids: of learnt ones, since all others are zeros."""
+        if self._places is None:
+            self._places = np.full((1 << BUCKETS_BITS) + 1, len(self.rows), np.int32)
+            self._places[self.rows] = np.arange(len(self.rows), dtype=np.int32)
+            self.values = np.concatenate([self.values[: len(self.rows)], np.zeros((1, WIDTH), np.float32)])
+        return _embedded(self.values, self._places[at])
 
     def logits(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         at, begins, ends = padded(ids, counts)
-        pooled = _pooled(_embedded(self.table(), at), begins, ends, self.filters)
+        pooled = _pooled(self.embedded(at), begins, ends, self.filters)
         return np.maximum(pooled + self.bias, 0) @ self.out + self.shift
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -136,7 +133,7 @@ def _convolved(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def _fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS):
     """Stochastic gradient steps (Adam; lazily for embeddings) on minibatches of whole documents."""
     rng = np.random.default_rng(3)
-    emb = start_table().copy()
+    emb = start_table()
     filters = [rng.standard_normal((s, WIDTH, FILTERS)).astype(np.float32) * np.float32(0.5 / np.sqrt(s)) for s in SPANS]
     bias = np.zeros(FILTERS * len(SPANS), np.float32)
     out = np.abs(rng.standard_normal(FILTERS * len(SPANS)).astype(np.float32)) * np.float32(0.3)
@@ -254,7 +251,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
 
 def flag_toxic(docs: DataFrame, model: ToxicityModel | None, name: str = "_toxic") -> DataFrame:
-    """All columns of docs and `name`: whether the text's score is 0.5 or more."""
+    """All columns of docs and `name`, which must be new: whether the text's score is 0.5 or more."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
