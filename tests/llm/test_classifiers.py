@@ -1,5 +1,6 @@
 """Language, toxicity, URL filters, license scans, and the pipeline."""
 
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm.names import INTERNAL
 from tidelog.llm import licences, toxicity, url_filters
 from tidelog.llm.common import held_out, table
 from tidelog.llm.languages import codewords, fit_languages, identify, with_language
@@ -33,7 +35,7 @@ def test_language_on_held_out_rows(spark, make_docs):
     assert sum(r.lang == r.lang_pred for r in tested) / len(tested) > 0.97
     odd = {r.doc_id: r for r in identify(make_docs([(1, None), (2, ""), (3, "12 $% 3"), (None, "the and of")]), model).collect()}
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (1, 2, 3)) and odd[None].lang_pred in ("de", "en", "es", "fr")
-    assert with_language(make_docs([(1, "the of and")]), model).columns[-2:] == ["_lang", "_score"]
+    assert with_language(make_docs([(1, "the of and")]), model).columns[-2:] == ["_lang", "_ambiguous"]
     empty = make_docs([])
     assert fit_languages(empty) is None and identify(empty, None).isEmpty()
     assert identify(make_docs([(1, "text")]), None).first().lang_pred == "und"
@@ -162,14 +164,49 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_pipeline_stages_on_odd_rows(spark, make_docs, tmp_path):
-    rows = [(1, None), (2, ""), (3, "12"), (4, "the of and to in " * 20), (5, "the of and to in " * 20), (None, "the of and to in " * 20), (6, "the of and to in " * 20 + "more words of it")]
+    rows = [(1, None), (2, ""), (2, ""), (3, "12"), (4, "the of and to in " * 20), (4, "the of and to in " * 20), (5, "the of and to in " * 20), (None, "the of and to in " * 20), (None, "la casa de los otros dias y las noches"), (None, "LA casa de los otros dias y las noches"), (6, "the of and to in " * 20 + "more words of it")]
     docs = make_docs(rows)
+    for name in INTERNAL.split():  # clashing names are carried through
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.lit(f"own {name}"))
     sf = "/root/testdata/sf0.001"
-    assert corpus_pipeline.drop_near_duplicates(spark, docs, sf).select("doc_id").count() == 6  # 5 goes
-    cut = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_passages(spark, docs, sf).collect()}
-    assert cut[1] is None and cut[2] == "" and 5 not in cut and cut[6].endswith("more words of it") and cut[None] == rows[5][1]
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()]
+    assert sorted(kept, key=str) == [1, 2, 3, 4, 6, None]
+    cut = corpus_pipeline.cut_repeated_passages(spark, docs, sf)
+    assert cut.columns == docs.columns
+    cut = cut.collect()
+    assert all(r[name] == f"own {name}" for r in cut for name in INTERNAL.split() if name not in ("component_id", "score"))
+    texts = sorted([(r.doc_id, r.text) for r in cut], key=str)
+    alike = rows[4][1]
+    assert texts == sorted([(1, None), (2, ""), (2, ""), (3, "12"), (4, alike), (4, alike), (6, "more words of it"), (None, alike), *rows[8:10]], key=str)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        done = stage(spark, docs, sf)
+        assert k == 4 or done.columns == docs.columns
+        done.write.parquet(f"{tmp_path}/odd{k}")
         assert stage(spark, make_docs([]), sf).count() == 0
+    spoken = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/odd1").collect()}
+    assert spoken.isdisjoint({1, 2, 3}) and 4 in spoken
+
+
+def test_language_stage_without_a_learned_language(spark, make_docs):
+    docs = make_docs([(1, "words"), (2, "12 ?"), (3, None), (4, "")]).withColumn("lang", F.lit(None).cast("string"))
+    assert [r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, docs, DATA).collect()] == [1]
+
+
+def test_pipeline_run_equals_its_stages_and_leaves_no_tables(spark, tmp_path):
+    from tidelog.sources.shared import shared_folder
+
+    small = "/root/testdata/sf0.001"
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, small)
+    assert len([n for n in set(os.listdir(folder)) - before if n.startswith("stage")]) == 1 == len(set(os.listdir(folder)) - before)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, small).write.parquet(f"{tmp_path}/run{k}")
+        docs = spark.read.parquet(f"{tmp_path}/run{k}")
+    pieces = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert pieces(out) == pieces(docs)
 
 
 def test_last_window_of_the_last_text_counts():

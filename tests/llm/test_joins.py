@@ -34,7 +34,10 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(make_docs, seed):
+def test_components_equal_brute_force(make_docs, seed, monkeypatch):
+    if seed == 2:  # probes in many parts, sets in many blocks
+        monkeypatch.setattr(ngram_join, "PROBES", 3)
+        monkeypatch.setattr(ngram_join, "TRIE_BYTES", 1 << 12)
     rng = random.Random(seed)
     word = lambda: rng.choice("alpha Beta gamma delta epsilon zeta eta theta".split()) + str(rng.randint(0, 99))
     bases = [[word() for _ in range(rng.choice([3, 6, 40, 120]))] for _ in range(6)]
@@ -83,6 +86,14 @@ def test_texts_of_one_id_link_by_each(make_docs):
     assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (5, 1), (6, 1), (8, 8), (9, 8)}
 
 
+def test_a_trie_of_nested_sets_is_as_deep_as_it_gets():
+    """3,000 sets, each the beginning of the next: deeper than Python recurses."""
+    tokens = np.arange(3000, dtype=np.uint64)
+    trie = ngram_join.Trie([(i, i + 1, tokens[: i + 1]) for i in range(3000)])
+    want = [i for i in range(3000) if 9 * min(i + 1, 1000) >= 4 * (1000 + i + 1)]
+    assert sorted(trie.links(1000, tokens[:1000])) == want
+
+
 def test_digests_before_empty_texts_are_whole(make_docs):
     texts = ["a b c d e f g", "a b c d e f h"]
     alone = {r.doc_id: (r.d1, r.d2) for r in ngram_join.set_digests(make_docs(list(enumerate([*texts, "z"]))).coalesce(1)).collect()}

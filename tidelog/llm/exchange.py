@@ -8,6 +8,7 @@ hot key gathers in a task, and the shuffles carry few, large rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BLOCK_BYTES, shuffle_partitions
+from tidelog.llm.common import BLOCK_BYTES, cleaning, kept, shuffle_partitions
+from tidelog.sources.shared import shared_folder
 
 ASK = "bucket int, block long, keys binary, counts binary"
 REPLY = "block long, keys binary, counts binary"
@@ -23,6 +25,22 @@ REPLY = "block long, keys binary, counts binary"
 KEYS_A_TASK = 4_000_000
 
 
+def by_block(rows: DataFrame, blocks: int, name: str) -> DataFrame:
+    """rows, which have a column `block`, written once in buckets by it: cogroups by block read them without a shuffle
+    of their own, however often. As many buckets as tasks, and one for eight blocks at least."""
+    spark = rows.sparkSession
+    buckets = max(shuffle_partitions(spark), -(-blocks // 8))
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    entry = f"tidelog_{uuid.uuid4().hex}"
+    with cleaning(spark):
+        rows.repartition(buckets, "block").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block").saveAsTable(entry)
+    kept(spark, path)
+    found = spark.table(entry)
+    found.schema  # resolved: the catalogue's entry can go, the files stay
+    spark.sql(f"drop table {entry}")
+    return found
+
+
 def block_count(total_bytes: int, each: int = BLOCK_BYTES) -> int:
     return max(1, -(-total_bytes // each))
 
@@ -61,39 +79,48 @@ def ask_table(rows: list[tuple]) -> pa.Table:
     return as_table(rows, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "block", "keys", "counts"])
 
 
-def shared_keys(asked: DataFrame, tasks: int) -> DataFrame:
-    """REPLY rows: of each block's keys those with a total count of two or more, and that total."""
+def _totals(rows: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, bytes, bytes]]:
+    """Of a bucket's (block, keys, counts): each block's keys with a total of two or more, and that total."""
+    parts = [np.frombuffer(k, np.uint64) for _, k, _ in rows]
+    keys, count = np.concatenate(parts), np.concatenate([np.frombuffer(c, np.int32) for _, _, c in rows]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    total = np.add.reduceat(count[order], first)
+    found = np.empty(len(keys), np.int64)
+    found[order] = np.repeat(total, np.diff(np.append(first, len(keys))))
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    for (block, _, _), a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
+        mask = found[a:b] >= 2
+        if mask.any():
+            yield block, keys[a:b][mask].tobytes(), np.minimum(found[a:b][mask], 2**31 - 1).astype(np.int32).tobytes()
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """The rows of each value of a column, by which the batches are sorted: one value's rows are held at a time."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row[key] != held[0][key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def shared_keys(asked: DataFrame, tasks: int, bits: int) -> DataFrame:
+    """REPLY rows: of each block's keys those with a total count of two or more, and that total.
+
+    A task holds one bucket at a time, whose size the number of buckets bounds (a key comes once from a block).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, parts, counts = [], [], []
-        for batch in batches:
-            blocks += batch.column("block").to_pylist()
-            parts += [np.frombuffer(k, np.uint64) for k in batch.column("keys").to_pylist()]
-            counts += [np.frombuffer(c, np.int32) for c in batch.column("counts").to_pylist()]
-        if not parts:
-            return
-        sizes = np.array([len(p) for p in parts])
-        keys, count = np.concatenate(parts), np.concatenate(counts).astype(np.int64)
-        del parts, counts
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        total = np.add.reduceat(count[order], first)
-        found = np.empty(len(keys), np.int64)
-        found[order] = np.repeat(total, np.diff(np.append(first, len(keys))))
-        del order, ranked
-        rows, ends = [], np.cumsum(sizes)
-        for block, a, b in zip(blocks, (ends - sizes).tolist(), ends.tolist(), strict=True):
-            mask = found[a:b] >= 2
-            if mask.any():
-                rows.append((block, keys[a:b][mask].tobytes(), np.minimum(found[a:b][mask], 2**31 - 1).astype(np.int32).tobytes()))
-            if len(rows) >= 512:
-                yield as_batch(rows, [pa.int64(), pa.binary(), pa.binary()], ["block", "keys", "counts"])
-                rows = []
-        if rows:
-            yield as_batch(rows, [pa.int64(), pa.binary(), pa.binary()], ["block", "keys", "counts"])
-
-    return asked.repartition(tasks, "bucket").mapInArrow(run, REPLY)
+        for rows in runs(batches, "bucket"):
+            yield as_batch(list(_totals([(r["block"], r["keys"], r["counts"]) for r in rows])), [pa.int64(), pa.binary(), pa.binary()], ["block", "keys", "counts"])
+
+    # Four buckets a task, or more.
+    return asked.repartition(max(tasks, (1 << bits) // 16), "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY)
 
 
 def merged_reply(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -32,11 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm import exchange, kernels
-from tidelog.llm.common import SLICE_BYTES, map_slices, shuffle_partitions, slices, stored, table
+from tidelog.llm.common import SLICE_BYTES, fresh, map_slices, shuffle_partitions, slices, stored, table, with_class
 from tidelog.llm.components import components
 
 SHINGLE = 5
@@ -44,6 +45,8 @@ SHINGLE = 5
 TEXT_BYTES = 4 << 20
 #: Bytes of ordered sets in a block of the trie join, on average.
 TRIE_BYTES = 4 << 20
+#: Probes that meet a block's trie in one task, on average.
+PROBES = 20_000
 
 
 def needed(n):
@@ -88,15 +91,20 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
     return code, np.bincount(of, minlength=n)
 
 
+def _digests(column: pa.Array) -> list[pa.Array]:
+    """The size and a 128-bit digest, in two parts, of each row's set."""
+    code, n = shingle_sets(column)
+    cuts = np.cumsum(n) - n
+    # One more hash, for the begins of empty sets behind all others.
+    digest = [np.where(n > 0, np.add.reduceat(np.append(v, np.uint64(0)), cuts), 0).astype(np.uint64).view(np.int64) for v in (kernels.mix(code + np.uint64(1)), kernels.mix(code ^ kernels.BASE))]
+    return [pa.array(n, pa.int64()), pa.array(digest[0]), pa.array(digest[1])]
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and a 128-bit digest (d1, d2) of the set of every row."""
 
     def run(batch):
-        code, n = shingle_sets(batch.column("text"))
-        cuts = np.cumsum(n) - n
-        # One more hash, for the begins of empty sets behind all others.
-        digest = [np.where(n > 0, np.add.reduceat(np.append(v, np.uint64(0)), cuts), 0).astype(np.uint64).view(np.int64) for v in (kernels.mix(code + np.uint64(1)), kernels.mix(code ^ kernels.BASE))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest[0]), pa.array(digest[1])], ["doc_id", "n_shingles", "d1", "d2"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *_digests(batch.column("text"))], ["doc_id", "n_shingles", "d1", "d2"])
 
     return map_slices(docs.select("doc_id", "text"), "text", run, "doc_id long, n_shingles long, d1 long, d2 long")
 
@@ -140,7 +148,8 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, total_bytes: int) -> Dat
     blocks = exchange.block_count(total_bytes, TEXT_BYTES)
     tasks = shuffle_partitions(spark)
     bits = exchange.bucket_bits(docs, total_bytes // 16)
-    texts = docs.select("doc_id", "text").withColumn("block", exchange.block_of(F.col("doc_id"), blocks)).repartition(tasks, "block")
+    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = exchange.by_block(rows.withColumn("block", exchange.block_of(F.col("doc_id"), blocks)), blocks, "blocks")
     empty = F.lit(None).cast("binary")
     wanted = classes.select(exchange.block_of(F.col("class_id"), blocks).alias("block"), F.lit(0).alias("kind"), "class_id", empty.alias("keys"), empty.alias("counts"))
 
@@ -150,7 +159,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, total_bytes: int) -> Dat
         return exchange.ask_table(exchange.packed(key[0].as_py(), keys, counts, bits))
 
     asked = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(ask, exchange.ASK)
-    reply = exchange.shared_keys(asked, tasks)
+    reply = exchange.shared_keys(asked, tasks, bits)
     notes = wanted.unionByName(reply.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("class_id"), "keys", "counts"))
 
     def answer(key, left, right):
@@ -179,13 +188,13 @@ def ordered_sets(candidates: DataFrame) -> DataFrame:
     blocks = exchange.block_count(total, TRIE_BYTES * 4)
     tasks = shuffle_partitions(spark)
     bits = exchange.bucket_bits(candidates, total // 8)
-    sets = candidates.withColumn("block", exchange.block_of(F.col("doc_id"), blocks)).repartition(tasks, "block")
+    sets = exchange.by_block(candidates.withColumn("block", exchange.block_of(F.col("doc_id"), blocks)), blocks, "sets")
 
     def ask(key, tab):
         keys, counts = np.unique(np.frombuffer(b"".join(tab.column("tokens").to_pylist()), np.uint64), return_counts=True)
         return exchange.ask_table(exchange.packed(key[0].as_py(), keys, counts, bits))
 
-    reply = exchange.shared_keys(sets.groupBy("block").applyInArrow(ask, exchange.ASK), tasks)
+    reply = exchange.shared_keys(sets.groupBy("block").applyInArrow(ask, exchange.ASK), tasks, bits)
 
     def answer(key, left, right):
         keys, counts = exchange.merged_reply(right.column("keys").to_pylist(), right.column("counts").to_pylist())
@@ -222,30 +231,39 @@ class Trie:
         local = [(flat[e - len(s) : e].astype(np.int32), i, n) for e, (i, n, s) in zip(ends.tolist(), sets, strict=True)]
         # Big-endian bytes sort as the numbers do, so equal beginnings lie side by side.
         local.sort(key=lambda x: x[0].astype(">i4").tobytes())
-        self.root = self._node(local, 0, len(local), 0)
-
-    def _node(self, rows: list, a: int, b: int, depth: int):
-        head, tail = rows[a][0], rows[b - 1][0]
-        if b - a == 1:
-            end = len(head)
-        else:  # sorted: what the first and the last have in common, all have
-            k = min(len(head), len(tail))
-            differ = np.flatnonzero(head[depth:k] != tail[depth:k])
-            end = depth + int(differ[0]) if len(differ) else k
-        here, at = [], a
-        while at < b and len(rows[at][0]) == end:
-            here.append((rows[at][1], rows[at][2]))
-            at += 1
-        children = []
-        while at < b:
-            token, stop = rows[at][0][end], at + 1
-            while stop < b and rows[stop][0][end] == token:
-                stop += 1
-            children.append(self._node(rows, at, stop, end))
-            at = stop
-        rest = max([0, *(len(c[0]) + c[3] for c in children)])
-        least = min([n for _, n in here] + [c[4] for c in children])
-        return head[depth:end], children, here, rest, least
+        self.root = self._grown(local)
+
+    def _grown(self, rows: list):
+        """The tree of sorted rows, without recursion: nodes open downward and close upward."""
+        top: list = []
+        work = [(0, len(rows), 0, top)]
+        opened = []
+        while work:
+            a, b, depth, above = work.pop()
+            head, tail = rows[a][0], rows[b - 1][0]
+            if b - a == 1:
+                end = len(head)
+            else:  # sorted: what the first and the last have in common, all have
+                k = min(len(head), len(tail))
+                differ = np.flatnonzero(head[depth:k] != tail[depth:k])
+                end = depth + int(differ[0]) if len(differ) else k
+            here, at = [], a
+            while at < b and len(rows[at][0]) == end:
+                here.append((rows[at][1], rows[at][2]))
+                at += 1
+            children: list = []
+            while at < b:
+                token, stop = rows[at][0][end], at + 1
+                while stop < b and rows[stop][0][end] == token:
+                    stop += 1
+                work.append((at, stop, end, children))
+                at = stop
+            opened.append((head[depth:end], children, here, above))
+        for edge, children, here, above in reversed(opened):  # children are opened after their parent
+            rest = max([0, *(len(c[0]) + c[3] for c in children)])
+            least = min([n for _, n in here] + [c[4] for c in children])
+            above.append((edge, children, here, rest, least))
+        return top[0]
 
     def links(self, n: int, tokens: np.ndarray) -> list[int]:
         """Ids of the sets that link with a set of full size n and these tokens."""
@@ -269,8 +287,12 @@ class Trie:
 def block_links(probes: DataFrame, own: DataFrame, ordered: DataFrame, blocks: int) -> DataFrame:
     """Links (a, b) of probes (a, block) with the documents of the block that are in own (id): not all of them, but
     enough to join what the links of the block join."""
-    asked = probes.join(ordered.select(F.col("doc_id").alias("a"), "n", "tokens"), "a").select("block", F.lit(0).alias("kind"), F.col("a").alias("id"), "n", "tokens")
-    held = ordered.select(F.col("doc_id").alias("id"), "n", "tokens").join(own, "id", "left_semi").select(exchange.block_of(F.col("id"), blocks).alias("block"), F.lit(1).alias("kind"), "id", "n", "tokens")
+    # However many probes a block has, a task holds PROBES of them at once, on average, and the block's sets.
+    parts = probes.groupBy("block").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("parts"))
+    asked = probes.join(ordered.select(F.col("doc_id").alias("a"), "n", "tokens"), "a").join(parts, "block")
+    asked = asked.select("block", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), F.col("a").alias("id"), "n", "tokens")
+    held = ordered.select(F.col("doc_id").alias("id"), "n", "tokens").join(own, "id", "left_semi").withColumn("block", exchange.block_of(F.col("id"), blocks)).join(parts, "block")
+    held = held.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "n", "tokens")
 
     def meet(tab):
         rows = list(zip(*[tab.column(c).to_pylist() for c in ("kind", "id", "n", "tokens")], strict=True))
@@ -293,7 +315,7 @@ def block_links(probes: DataFrame, own: DataFrame, ordered: DataFrame, blocks: i
                     out.append((i, j))
         return exchange.as_table(out, [pa.int64(), pa.int64()], ["a", "b"])
 
-    return asked.unionByName(held).groupBy("block").applyInArrow(meet, "a long, b long")
+    return asked.unionByName(held).groupBy("block", "part").applyInArrow(meet, "a long, b long")
 
 
 def _possible(na, ma, nb, mb):
@@ -332,9 +354,9 @@ def class_links(ordered: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     digests = stored(set_digests(docs), "digests")
-    classes = digests.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id")).where("n_shingles > 0")
+    classes = digests.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows")).where("n_shingles > 0")
     classes = stored(classes, "classes")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     candidates = candidate_sets(docs, classes.where("class_id is not null").select("class_id"), total)
     ordered = ordered_sets(candidates)
     found = class_links(ordered) if not ordered.isEmpty() else None
@@ -342,9 +364,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         named = classes.withColumn("component", F.col("class_id"))
     else:
         named = classes.join(found.groupBy(F.col("node").alias("class_id")).agg(F.min("component").alias("component")), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    sized = digests.join(named.select("n_shingles", "d1", "d2", "component"), ["n_shingles", "d1", "d2"], "left")
+    sized = with_class(digests, stored(named.select("n_shingles", "d1", "d2", "class_rows", "component"), "named"), ["n_shingles", "d1", "d2"], rows)
     return sized.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each group of links, with all columns: of its smallest id the row of the least text digest.
+
+    Texts without words stay, once for each id. Rows without an id stay if no row with one has their set, one for each
+    set; those without words all do.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    place, digest = fresh(docs, "place"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(digest))
+    groups = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi")
+    # The rank is cut to 1 before the shuffle, so no id gathers its rows in a task.
+    out = named.withColumn(place, first("doc_id")).where(F.col(place) == 1).select(*columns)
+    bare = docs.where("doc_id is null")
+    if bare.isEmpty():
+        return out
+    n, d1, d2 = (fresh(docs, c) for c in ("n_shingles", "d1", "d2"))
+
+    def run(batch):
+        found = _digests(batch.column("text"))
+        return pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, n, d1, d2])
+
+    marked = map_slices(bare, "text", run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in (n, d1, d2)]]))
+    known = set_digests(docs.where("doc_id is not null")).where("n_shingles > 0").toDF("_", n, d1, d2).select(n, d1, d2).distinct()
+    once = marked.where(F.col(n) > 0).join(known, [n, d1, d2], "left_anti").withColumn(place, first(n, d1, d2)).where(F.col(place) == 1)
+    return out.unionByName(once.select(*columns)).unionByName(marked.where(F.col(n) == 0).select(*columns))
+
+
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import exchange, kernels
-from tidelog.llm.common import SLICE_BYTES, shuffle_partitions, slices, stored, table
-from tidelog.llm.induced import suffix_sort
+from tidelog.llm.common import SLICE_BYTES, fresh, shuffle_partitions, slices, stored, table, with_class
+from tidelog.llm.induced import MEMORY, STEP, Column, on_disk, suffix_sort
 
 LENGTH = 50
 GRAM = 20
@@ -39,8 +39,8 @@ GRAM = 20
 RUN = 48
 #: Text of a block, on average.
 BLOCK = 4 << 20
-#: Text for each task that sorts suffixes; shared segments are a part of it.
-SORT_BYTES = 12 << 20
+#: Text of all documents for each task that sorts suffixes; shared segments are a part of it.
+SORT_BYTES = 6 << 20
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -82,13 +82,17 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return kernels.mix(keys[at] + kernels.BASE), at, size, rows[at]
 
 
-def _documents(texts: pa.Table, notes: pa.Table) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(ids, bytes, offsets) of the block's documents that go on, in ascending order, in slices."""
+def _in_order(texts: pa.Table, notes: pa.Table) -> pa.Table:
+    """The block's documents that go on, in ascending order."""
     own = notes.filter(pc.equal(notes.column("kind"), 0))
     wanted = set(zip(own.column("class_id").to_pylist(), own.column("keys").to_pylist(), strict=True))
     mine = texts.filter(pa.array([x in wanted for x in zip(texts.column("doc_id").to_pylist(), texts.column("sha").to_pylist(), strict=True)], pa.bool_()))
-    mine = mine.take(pc.sort_indices(mine, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
-    for batch in slices(mine.to_batches(), "text", SLICE_BYTES):
+    return mine.take(pc.sort_indices(mine, sort_keys=[("doc_id", "ascending"), ("sha", "ascending")])).combine_chunks()
+
+
+def _documents(texts: pa.Table, notes: pa.Table) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(ids, bytes, offsets) of the block's documents that go on, in ascending order, in slices."""
+    for batch in slices(_in_order(texts.select(["doc_id", "text", "sha"]), notes).to_batches(), "text", SLICE_BYTES):
         yield (batch.column("doc_id").to_pylist(), *kernels.text_buffers(batch.column("text")))
 
 
@@ -135,75 +139,123 @@ class _Requests:
 _REQUEST = "bucket int, block long, segments binary, lengths binary, ids binary"
 
 
-def _marked(batches: list[tuple[int, int, bytes, bytes, bytes]]) -> list[tuple[int, int, bytes]]:
-    """(block, bucket, a 64-bit answer for each segment) of requests that meet in one task."""
-    index: dict[bytes, int] = {}
-    which, owners = [], []  # each request's segment among the distinct ones, and its id
-    for _, _, raw, lengths, ids in batches:
-        at = 0
+class Shard:
+    """The segments that meet in one task, on disk, and the marks of their windows.
+
+    Segments are appended to a text file as they come, each once as long as an index of those seen fits the memory
+    (then a new index begins; a segment that comes again is sorted again). What belongs to a segment or a request is
+    a file too, so a shard may be far larger than memory.
+    """
+
+    def __init__(self, memory: int = MEMORY):
+        self.memory, self.held = memory, 0
+        self.index: dict[bytes, int] = {}
+        self.count = 0
+        self.text, self.sizes = Column(np.uint8, memory), Column(np.uint8, memory)
+        self.which, self.owners = Column(np.int64, memory), Column(np.int64, memory)
+        self.requests: list[tuple[int, int, int]] = []
+
+    def add(self, bucket: int, block: int, raw: bytes, lengths: bytes, ids: bytes) -> None:
+        """A request: segments of these lengths, and the smallest id that has each in the block."""
+        at, index, which, new = 0, self.index, [], []
         for n in lengths:
-            which.append(index.setdefault(raw[at : at + n], len(index)))
+            segment = raw[at : at + n]
+            place = index.get(segment)
+            if place is None:
+                place = index[segment] = self.count
+                self.count += 1
+                new.append(segment)
+            which.append(place)
             at += n
-        owners.append(np.frombuffer(ids, np.int64))
-    which, owners = np.array(which), np.concatenate(owners)
-    owner = np.full(len(index), np.iinfo(np.int64).max)
-    np.minimum.at(owner, which, owners)
-    size = np.array([len(x) for x in index], np.int64)
-    raw = np.frombuffer(b"".join(index), np.uint8)
-    del index
-    begin = np.cumsum(size + 1) - (size + 1)  # a separator after each segment, and the end symbol
-    # UTF-8 has no byte above 0xF7, so symbols with room for those two fit a byte.
-    text = np.ones(len(raw) + len(size) + 1, np.uint8)
-    text[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw + np.uint8(2)
-    text[-1] = 0
-    of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-    del raw
-    answers = np.zeros(len(size), np.uint64)
-    state = {"at": np.zeros(0, np.int64)}  # the windows of a group that may go on
-
-    def settle(at: np.ndarray, first: np.ndarray) -> None:
+        if new:
+            sizes = np.array([len(x) for x in new])
+            # UTF-8 has no byte above 0xF7, so symbols with room for a separator and the end symbol fit a byte.
+            text = np.ones(int(sizes.sum()) + len(new), np.uint8)
+            body = np.frombuffer(b"".join(new), np.uint8)
+            text[np.arange(len(body)) + np.repeat(np.arange(len(new)), sizes)] = body + np.uint8(2)
+            self.text.add(text)
+            self.sizes.add(sizes.astype(np.uint8))
+            self.held += int(sizes.sum()) + 150 * len(new)
+        self.which.add(np.array(which, np.int64))
+        self.owners.add(np.frombuffer(ids, np.int64))
+        self.requests.append((bucket, block, len(lengths)))
+        if self.held > self.memory // 2:
+            self.index, self.held = {}, 0
+
+    def marked(self) -> Iterator[list[tuple[int, int, bytes]]]:
+        """(block, bucket, a 64-bit answer for each segment) of the requests."""
+        if not self.requests:
+            return
+        self.index = {}
+        self.text.add(np.zeros(1, np.uint8))
+        text, sizes, which, owners = self.text.array(), self.sizes.array(), self.which.array(), self.owners.array()
+        owner, answers = (on_disk(self.count, d, self.memory) for d in (np.int64, np.uint64))
+        begin = on_disk(self.count + 1, np.int64, self.memory)
+        total = 0
+        for k in range(0, self.count, STEP):
+            part = sizes[k : k + STEP].astype(np.int64) + 1
+            begin[k : k + len(part)] = total + np.cumsum(part) - part
+            total += int(part.sum())
+            owner[k : k + len(part)] = np.iinfo(np.int64).max
+            answers[k : k + len(part)] = 0
+        begin[self.count] = total
+        for k in range(0, len(which), STEP):
+            np.minimum.at(owner, which[k : k + STEP], owners[k : k + STEP])
+        _mark_windows(text, begin, sizes, owner, answers, self.memory)
+        at, rows = 0, []
+        for bucket, block, n in self.requests:
+            of, mine = which[at : at + n], owners[at : at + n]
+            # A request of a greater id than another of the same segment: all its windows are there.
+            rows.append((block, bucket, np.where(mine > owner[of], np.uint64(2**64 - 1), answers[of]).tobytes()))
+            at += n
+            if len(rows) == 256:
+                yield rows
+                rows = []
+        if rows:
+            yield rows
+
+
+def _mark_windows(text: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, answers: np.ndarray, memory: int) -> None:
+    """Sets, in each segment's answer, the bits of the windows that a segment of a smaller id has as well."""
+    last = len(size) - 1
+    state = {"at": np.zeros(0, np.int64), "of": np.zeros(0, np.int64)}  # the windows of a group that may go on
+
+    def settle(at: np.ndarray, seg: np.ndarray, first: np.ndarray) -> None:
         """Groups of equal windows: those of ids above the group's least are marked."""
         if not len(at):
             return
-        seg = of[at]
-        least = np.minimum.reduceat(owner[seg], first)
-        more = owner[seg] > np.repeat(least, np.diff(np.append(first, len(at))))
+        ids = owner[seg]
+        least = np.minimum.reduceat(ids, first)
+        more = ids > np.repeat(least, np.diff(np.append(first, len(at))))
         seg, bit = seg[more], (at[more] - begin[seg[more]]).astype(np.uint64)
         np.bitwise_or.at(answers, seg, np.uint64(1) << bit)
 
     def emit(at: np.ndarray, lcp: np.ndarray) -> None:
-        seg = of[np.minimum(at, len(of) - 1)]
+        seg = np.minimum(np.searchsorted(begin, at, side="right") - 1, last)
         # Only whole windows; whatever lies between two equal ones is equal to them, so it is a window too.
         joined = lcp >= LENGTH
         group = np.cumsum(~joined)
         keep = begin[seg] + size[seg] - at >= LENGTH
-        at, group = at[keep], group[keep]
-        held = state["at"]
+        at, seg, group = at[keep], seg[keep], group[keep]
+        held, of = state["at"], state["of"]
         if len(held) and (not len(at) or group[0] > 0):
-            settle(held, np.array([0]))
-            held = np.zeros(0, np.int64)
+            settle(held, of, np.array([0]))
+            held = of = np.zeros(0, np.int64)
         if len(at):
-            at = np.concatenate([held, at])
+            at, seg = np.concatenate([held, at]), np.concatenate([of, seg])
             group = np.concatenate([np.full(len(held), group[0]), group])
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            last = int(first[-1])
-            settle(at[:last], first[:-1])
-            held = at[last:]
+            cut = int(first[-1])
+            settle(at[:cut], seg[:cut], first[:-1])
+            held, of = at[cut:], seg[cut:]
             if len(held) > 4096:  # of a long group only the windows of its least id are undecided
-                settle(held, np.array([0]))
-                ids = owner[of[held]]
-                held = held[ids == ids.min()]
-        state["at"] = held
-
-    suffix_sort(text, LENGTH, emit)
-    settle(state["at"], np.array([0]))
-    # A request of a greater id than another of the same segment: all its windows are there.
-    found = np.where(owners > owner[which], np.uint64(2**64 - 1), answers[which])
-    out, at = [], 0
-    for bucket, block, _, lengths, _ in batches:
-        out.append((block, bucket, found[at : at + len(lengths)].tobytes()))
-        at += len(lengths)
-    return out
+                settle(held, of, np.array([0]))
+                ids = owner[of]
+                held, of = held[ids == ids.min()], of[ids == ids.min()]
+        state["at"], state["of"] = held, of
+
+    suffix_sort(text, LENGTH, emit, memory)
+    settle(state["at"], state["of"], np.array([0]))
 
 
 def removed_bytes(texts: pa.Table, notes: pa.Table, bits: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -237,37 +289,39 @@ def _finished(ids: list[int], data: np.ndarray, offsets: np.ndarray, gone: np.nd
     arrays = [pa.array(ids, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if with_text:
-        source = data.tobytes()
-        edges = offsets.tolist()
-        sources = [hashlib.sha256(source[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         texts = [p.decode(errors="ignore") for p in parts]  # the rest of a character that was cut in two goes too
-        return pa.Table.from_arrays([*arrays, pa.array(sources, pa.string()), pa.array(texts, pa.string())], [*names, "source_sha256", "kept"])
+        return pa.Table.from_arrays([*arrays, pa.array(texts, pa.string())], [*names, "kept"])
     return pa.Table.from_arrays(arrays, names)
 
 
 def dedup_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """The contract's columns for every row.
 
-    with_text adds the digest of the text before as `source_sha256`, and what remains as `kept`, a string without the
-    rest of characters that were cut in two.
+    with_text adds what remains as `kept`, a string without the rest of characters that were cut in two, and all other
+    columns of docs but the text, as one struct `row`.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    slim = stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha")), "texts")
-    total = slim.agg(F.sum("n_bytes")).first()[0] or 0
-    classes = stored(slim.where("doc_id is not null").groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("class_id")), "classes")
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias(fresh(docs, "was_null"))).alias("row")] if with_text else []
+    source = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"), *others)
+    slim = stored(source.drop("text"), "texts")
+    rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    classes = stored(slim.where("doc_id is not null").groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows")), "classes")
     blocks, tasks = exchange.block_count(total, BLOCK), shuffle_partitions(spark)
-    bits = exchange.bucket_bits(docs, total // 16)
     sorters = max(tasks, total // SORT_BYTES)
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha")).withColumn("block", exchange.block_of(F.col("doc_id"), blocks)).repartition(tasks, "block")
+    bits = max(exchange.bucket_bits(docs, total // 16), int(np.ceil(np.log2(4 * sorters))))
+    # The longer texts, written once by block. Their other columns lie there too, and only the last step reads them.
+    long = source.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH)).withColumn("sha", F.unhex("sha")).drop("n_bytes")
+    blocked = exchange.by_block(long.withColumn("block", exchange.block_of(F.col("doc_id"), blocks)), blocks, "blocks")
+    texts = blocked.select("doc_id", "text", "sha", "block")
     no, never = F.lit(None).cast("binary"), F.lit(None).cast("long")
     wanted = classes.where(F.col("n_bytes") >= LENGTH).select(exchange.block_of(F.col("class_id"), blocks).alias("block"), F.lit(0).alias("kind"), "class_id", F.lit(0).alias("bucket"), F.unhex("sha").alias("keys"), no.alias("counts"))
 
     def ask(key, left, right):
         return _asked(key[0].as_py(), left, right, bits)
 
-    together = lambda notes: texts.groupBy("block").cogroup(notes.groupBy("block"))
-    shared = stored(exchange.shared_keys(together(wanted).applyInArrow(ask, exchange.ASK), tasks), "shared")
+    together = lambda side, notes: side.groupBy("block").cogroup(notes.groupBy("block"))
+    shared = stored(exchange.shared_keys(together(texts, wanted).applyInArrow(ask, exchange.ASK), tasks, bits), "shared")
     notes = wanted.unionByName(shared.select("block", F.lit(1).alias("kind"), never.alias("class_id"), F.lit(0).alias("bucket"), "keys", "counts"))
 
     def request(key, left, right):
@@ -278,23 +332,30 @@ def dedup_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return exchange.as_table(rows, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "block", "segments", "lengths", "ids"])
 
     def mark(batches):
-        rows = [r for batch in batches for r in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True)]
-        if rows:
-            yield exchange.as_batch(_marked(rows), [pa.int64(), pa.int32(), pa.binary()], ["block", "bucket", "keys"])
-
-    marks = stored(together(notes).applyInArrow(request, _REQUEST).repartition(sorters, "bucket").mapInArrow(mark, "block long, bucket int, keys binary"), "marks")
+        shard = Shard()
+        for batch in batches:
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                shard.add(*row)
+        for answers in shard.marked():
+            yield exchange.as_batch(answers, [pa.int64(), pa.int32(), pa.binary()], ["block", "bucket", "keys"])
+
+    place = F.floor(F.col("bucket") * F.lit(sorters) / F.lit(1 << bits)).cast("int")  # even ranges of the keys
+    marks = stored(together(texts, notes).applyInArrow(request, _REQUEST).repartitionById(sorters, place).mapInArrow(mark, "block long, bucket int, keys binary"), "marks")
     answered = notes.unionByName(marks.select("block", F.lit(2).alias("kind"), never.alias("class_id"), "bucket", "keys", no.alias("counts")))
 
     def finish(key, left, right):
         parts = [_finished(*part, with_text) for part in removed_bytes(left, right, bits)]
-        if parts:
-            return pa.concat_tables(parts)
-        return _finished([], np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool), with_text)
-
-    done = together(answered).applyInArrow(finish, _OUT + (", source_sha256 string, kept string" if with_text else ""))
+        if not parts:
+            parts = [_finished([], np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool), with_text)]
+        done = pa.concat_tables(parts)
+        if with_text:
+            done = done.append_column("row", _in_order(left, right).column("row"))
+        return done
+
+    kind = f", kept string, row {dict(source.dtypes)['row']}" if with_text else ""
+    done = together(blocked if with_text else texts, answered).applyInArrow(finish, _OUT + kind)
     # Copies lose all; texts too short for a match, and those without an id, lose nothing.
-    placed = slim.join(classes, ["sha", "n_bytes"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("class_id"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
-    rest = placed.where(F.col("copy") | (F.col("n_bytes") < LENGTH) | F.col("doc_id").isNull())
+    placed = with_class(slim, classes, ["sha", "n_bytes"], rows).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("class_id"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
     columns = [
         "doc_id",
         "n_bytes",
@@ -303,11 +364,10 @@ def dedup_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:
         F.when(F.col("copy"), F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
     ]
     if not with_text:
-        return done.unionByName(rest.select(*columns))
-    whole = docs.where((F.octet_length(text) < LENGTH) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_id"), F.sha2(text.cast("binary"), 256).alias("_sha"), text.alias("kept")).dropDuplicates(["_id", "_sha"])
-    emptied = rest.where("copy").withColumn("kept", F.lit(""))
-    plain = rest.where("not copy").join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))).drop("_id", "_sha").unionByName(emptied)
-    return done.unionByName(plain.select(*columns, F.col("sha").alias("source_sha256"), "kept"))
+        return done.unionByName(placed.where(F.col("copy") | (F.col("n_bytes") < LENGTH) | F.col("doc_id").isNull()).select(*columns))
+    emptied = placed.where("copy").select(*columns, F.lit("").alias("kept"), "row")
+    whole = source.where((F.col("n_bytes") < LENGTH) | F.col("doc_id").isNull()).withColumn("copy", F.lit(False)).select(*columns, F.col("text").alias("kept"), "row")
+    return done.unionByName(emptied).unionByName(whole)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
