@@ -1,6 +1,8 @@
 """A corpus pipeline: toxicity, language, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+run() writes what each stage keeps and reads it again, so no stage is computed twice, and deletes what the stages stored
+on the way.
 """
 
 from __future__ import annotations
@@ -9,52 +11,58 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
-from tidelog.llm.languages import UNKNOWN, fit_languages, with_language
-from tidelog.llm.ngram_join import jaccard_components
+from tidelog.llm.common import fresh, scratch, table, written
+from tidelog.llm.languages import fit_languages, with_language
+from tidelog.llm.ngram_join import representatives
 from tidelog.llm.packing import pack_documents
 from tidelog.llm.suffix_dedup import dedup_documents
 from tidelog.llm.toxicity import fit_toxicity, flag_toxic
+from tidelog.sources.shared import delete
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Texts whose best language is less likely than this are rejected; clean texts are far above.
-LEAST_LANGUAGE_SCORE = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose score is 0.5 or more. Texts without words are kept."""
-    return flag_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).where("not _toxic").drop("_toxic")
+    mark = fresh(docs, "toxic")
+    flagged = flag_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), mark)
+    return flagged.where(~F.col(mark)).select(*_columns(docs))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without null texts, those without letters, and those whose language can't be told; lang is the predicted one."""
+    """Without null texts, those without letters, and those that the model flags as ambiguous; lang is the predicted
+    one. Without a learned language only the first two go."""
     model = fit_languages(docs)
+    lang, ambiguous = fresh(docs, "language"), fresh(docs, "ambiguous")
+    found = with_language(docs, model, lang, ambiguous)
     if model is None:
-        return docs
-    found = with_language(docs, model)
-    kept = found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*[F.col("_lang").alias("lang") if c == "lang" else c for c in docs.columns])
+        return found.where(F.col("text").rlike(r"\p{L}")).select(*_columns(docs))
+    kept = found.where(~F.col(ambiguous))
+    return kept.select(*[F.col(lang).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of links stays: that of the smallest id. Rows without an id stay."""
-    groups = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of links stays: that of the smallest id, and of its rows one. Rows without an id
+    stay unless a row with one, or another of them, has the same shingles; texts without words stay, once an id."""
+    return representatives(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat from a document of a smaller id; texts of which nothing remains go.
 
-    Cuts fall between bytes; the rest of a character that is cut in two goes as well.
+    Cuts fall between bytes; the rest of a character that is cut in two goes as well. n_chars follows the text.
     """
-    kept = dedup_documents(docs, with_text=True).select(F.col("doc_id").alias("_id"), F.col("source_sha256").alias("_cut"), "kept", "n_removed").dropDuplicates(["_id", "_cut"])
-    rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*rest, F.col("text").isNull().alias("_none"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("_sha"))
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_cut"))).where("n_removed = 0 or length(kept) > 0")
-    changed = joined.withColumn("text", F.when(~F.col("_none"), F.col("kept")))
-    if "n_chars" in rest:
-        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    was_null = fresh(docs, "was_null")
+    kept = dedup_documents(docs, with_text=True).where("n_removed = 0 or length(kept) > 0")
+    columns = []
+    for c in docs.columns:
+        own = F.col("row").getField(c)
+        if c == "text":
+            own = F.when(~F.col("row").getField(was_null), F.col("kept"))
+        elif c == "n_chars":
+            own = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(own)
+        columns.append(own.alias(c))
+    return kept.select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +82,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            path = written(stage(spark, docs, sf_dir), "stage")
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(docs.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
